@@ -72,11 +72,8 @@ def src4(i: Inputs) -> DataFrame:
     # the format is one ordered file per layer
     (rows.unionByName(header).repartition("layer").sortWithinPartitions("layer", "cell_row")
      .select("layer", F.col("value")).write.partitionBy("layer").text(path))
-    stacked = [scan_ascii_grid(i.spark, f"{path}/layer={n}", n)[0] for n in ("map", "mat", "tmax", "tmin")]
-    out = stacked[0]
-    for s in stacked[1:]:
-        out = out.unionByName(s)
-    return out
+    layers = {n: n for n in ("map", "mat", "tmax", "tmin")}
+    return scan_ascii_grid(i.spark, path, layers, r"layer=([^/]+)/")[0]
 
 
 @query("src5_cover_records", """

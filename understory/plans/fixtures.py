@@ -59,7 +59,7 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
 SELECT l_orderkey * 10 + l_linenumber AS rec_id,
        CAST(50000000 + (l_orderkey * 7919 + l_linenumber * 131) % 200000 AS DOUBLE) / CAST(100 AS DOUBLE) AS x,
        CAST(400000000 + (l_partkey * 104729 + l_suppkey * 17) % 200000 AS DOUBLE) / CAST(100 AS DOUBLE) AS y,
-       CASE WHEN l_returnflag = 'R' THEN CAST(l_orderkey % 3 AS DOUBLE) / CAST(10 AS DOUBLE) ELSE l_quantity END AS z,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_orderkey % 3 AS DOUBLE) / CAST(8 AS DOUBLE) ELSE l_quantity END AS z,
        CASE WHEN l_returnflag = 'R' THEN 2 ELSE 5 END AS class
 FROM lineitem""",
     "v_boxes": """

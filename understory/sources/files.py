@@ -53,18 +53,19 @@ def scan_matching(spark: SparkSession, fmt: str, root: str, glob: str, regex: st
 GRID_HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value")
 
 
-def scan_ascii_grid(spark: SparkSession, path: str, layers: Mapping[str, str] | str) -> tuple[DataFrame, DataFrame]:
+def scan_ascii_grid(spark: SparkSession, path: str, layers: Mapping[str, str],
+                    name_pattern: str = r"([^/.]+)\.[^/]*$") -> tuple[DataFrame, DataFrame]:
     """Text grids as long cells plus a table with one transform row per layer.
 
-    `layers` maps a file's name without extension to the layer name, or is the
-    layer name when `path` holds one grid. The result frames are (layer, cell_row, cell_col, value) and
+    `name_pattern` picks a name out of each file's path (default: the file name
+    without extension) and `layers` maps it to a layer; other files are skipped.
+    The result frames are (layer, cell_row, cell_col, value) and
     (layer, x0, y0, dx, dy, nodata); no-data cells have a NULL value. Lines keep
     their file order through the split offset and the position in the split.
     """
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
-    layer = F.lit(layers) if isinstance(layers, str) else map_lookup(stem, layers)
+    name = F.regexp_extract(F.col("_metadata.file_path"), name_pattern, 1)
     lines = (spark.read.text(path)
-             .select(layer.alias("layer"), F.col("_metadata.file_block_start").alias("_at"),
+             .select(map_lookup(name, layers).alias("layer"), F.col("_metadata.file_block_start").alias("_at"),
                      F.monotonically_increasing_id().alias("_id"), F.trim("value").alias("line"))
              .filter(F.col("layer").isNotNull() & (F.col("line") != "")))
     parts = F.split("line", r"\s+")
