@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from understory.functions.labels import RESPONSE_TITLE, VARIABLE_GROUP, VARIABLE_LABEL
 from understory.functions.scalars import map_lookup, round_to
 from understory.operators import structure as st
@@ -12,7 +13,8 @@ from understory.operators.diversity import (attach_structure, beta_diversity, di
 from understory.operators.figstats import boxplot_outliers, boxplot_stats, loess
 from understory.operators.spatial import (GridTransform, clip_key, crop, sample_raster, sample_raster_360,
                                           tiles_for, with_utm)
-from understory.operators.verbs import align_to_first_repfrom understory.plans.catalog.aggregates import rounded
+from understory.operators.verbs import align_to_first_rep
+from understory.plans.catalog.aggregates import rounded
 from understory.plans.fixtures import Inputs
 from understory.plans.model_table import build_model_table
 from understory.plans.registry import query
