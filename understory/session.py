@@ -49,12 +49,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through replicated storage, so a lost executor costs one re-read."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write a frame to a fresh table in the shared scratch folder and read it back.
+
+    Cuts the lineage through shared storage: the plan becomes a scan, and a lost
+    executor costs a re-read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def broadcast_limit(spark: SparkSession) -> int:
