@@ -18,7 +18,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -28,7 +27,7 @@ from understory.functions.special import bernoulli_loglik, digamma, inv_logit, l
 from understory.operators.glm import binomial_logit, coef_frame, linear_predictor
 from understory.session import broadcast_if_small, stored
 
-LOG_SIGMA_FLOOR = -5.0
+LOG_SIGMA_FLOOR = -4.0
 STEP = 0.01
 INNER = 3        # mode-finding steps of a line search
 INNER_NEAR = 1   # enough for candidates a small step away from a converged centre
@@ -111,8 +110,8 @@ class _Problem:
         self.scale = np.array([stats[f"s{j}"] or 1.0 for j in range(len(x))])
         z = {f"_x{j}": (F.col(f"_x{j}") - F.lit(float(self.mean[j]))) / F.lit(float(self.scale[j]))
              for j in range(len(x))}
-        self.rows = rows.withColumns(z).persist(StorageLevel.MEMORY_AND_DISK) if z else \
-            rows.persist(StorageLevel.MEMORY_AND_DISK)
+        # read once per step: written to shared storage so every step's plan starts at a scan
+        self.rows = stored(rows.withColumns(z) if z else rows, "rows")
         self.p = len(x) + 1
 
     # parameter layout: beta (p), log sigma site, log sigma plot[, log phi]
@@ -268,12 +267,13 @@ def _design(theta: np.ndarray, h: float, central: bool):
 
 
 def fit_mixed(df: DataFrame, label: str, features: Sequence[str], site: str = "site", plot: str = "plot_id",
-              family: str = "binomial", max_iter: int = 15, tol: float = 1e-3) -> MixedFit:
+              family: str = "binomial", max_iter: int = 15, tol: float = 0.01) -> MixedFit:
     """Maximum Laplace likelihood of `label ~ features + (1 | site/plot)` with logit link.
 
     `family` is 'binomial' for 0/1 or 'beta' for a response inside (0, 1). Rows
     with a missing value are left out. Standard errors come from the inverse
-    Hessian of the marginal likelihood.
+    Hessian of the marginal likelihood. Iteration stops when the next step is
+    predicted to gain less than `tol` log-likelihood units.
     """
     prob = _Problem(df, label, features, site, plot, family)
     theta = prob.start()
@@ -322,7 +322,6 @@ def fit_mixed(df: DataFrame, label: str, features: Sequence[str], site: str = "s
     to_raw[1:, 1:] = np.diag(1 / prob.scale)
     out = modes.select(F.col("_s").alias("site"), F.col("_p").alias("plot"), F.col("_us").alias("u_site"),
                        F.col("_up").alias("u_plot"))
-    prob.rows.unpersist()
     return MixedFit(family, label, ["(Intercept)", *features], to_raw @ theta[:p], to_raw @ cov[:p, :p] @ to_raw.T,
                     math.exp(theta[p]), math.exp(theta[p + 1]), math.exp(theta[p + 2]) if family == "beta" else None,
                     float(val[0]), n_iter, converged, (site, plot), out)

@@ -14,6 +14,7 @@ from understory.plans.catalog.aggregates import rounded
 from understory.plans.catalog.ecology_spatial import model_table
 from understory.plans.fixtures import Inputs
 from understory.plans.registry import query
+from understory.session import stored
 
 STRUCTURE_14 = ("vai", "vci", "vert_sd", "q25", "q50", "gfp", "entropy", "rumple", "vert_cv", "top_rugosity",
                 "deepgap_fraction", "mean_max_canopy_ht", "max_canopy_ht", "cover_fraction")
@@ -22,9 +23,9 @@ _FITTED: dict[tuple, object] = {}
 
 
 def mixed_table(i: Inputs) -> DataFrame:
-    """Model rows that have a time since change (which leaves the Alaskan sites out)."""
-    return model_table(i).filter(F.col("days_since_change").isNotNull()).select(
-        "site", "plot_id", "year", "i_cat", "rer", "rel_cover_exotic", *TERMS)
+    """Model rows that have a time since change (which leaves the Alaskan sites out), written once."""
+    return remembered(i, "rows", lambda: stored(model_table(i).filter(F.col("days_since_change").isNotNull()).select(
+        "site", "plot_id", "year", "i_cat", "rer", "rel_cover_exotic", *TERMS), "mixed-rows"))
 
 
 def remembered(i: Inputs, name: str, build):
