@@ -18,6 +18,7 @@ from understory.plans.catalog.aggregates import rounded
 from understory.plans.fixtures import Inputs
 from understory.plans.model_table import build_model_table
 from understory.plans.registry import query
+from understory.session import stored
 
 GRID = GridTransform(x0=-150.0, y0=65.0, dx=2.0, dy=1.0)
 GRID_360 = GridTransform(x0=210.0, y0=65.0, dx=2.0, dy=1.0)
@@ -284,7 +285,7 @@ def sp10(i: Inputs) -> DataFrame:
 SELECT plot_id, round(stddev_samp(z), 6) AS vert_sd, round(stddev_samp(z) / nullif(avg(z), 0), 6) AS vert_cv
 FROM crops GROUP BY plot_id""")
 def sp11(i: Inputs) -> DataFrame:
-    return rounded(st.vertical_spread(clouds(i)), 6, "vert_sd", "vert_cv")
+    return rounded(st.vertical_spread(st.height_counts(clouds(i))), 6, "vert_sd", "vert_cv")
 
 
 @query("sp12_sd_of_cell_sd", f"""WITH {CHM_SQL}
@@ -299,7 +300,7 @@ layers AS (SELECT plot_id, CAST(floor(z) AS BIGINT) AS layer, count(*) AS n, max
 
 
 def layers(i: Inputs) -> DataFrame:
-    return st.height_layers(heights(i))
+    return st.height_layers(st.height_counts(heights(i)))
 
 
 @query("sp13_height_entropy", f"""WITH {LAYER_SQL}, s AS (
@@ -344,7 +345,7 @@ def sp16(i: Inputs) -> DataFrame:
 SELECT plot_id, round(quantile_cont(z, 0.25), 6) AS q25, round(quantile_cont(z, 0.5), 6) AS q50
 FROM crops GROUP BY plot_id""")
 def sp17(i: Inputs) -> DataFrame:
-    return rounded(st.height_quantiles(clouds(i)), 6, "q25", "q50")
+    return rounded(st.height_quantiles(st.height_counts(clouds(i))), 6, "q25", "q50")
 
 
 # ---- figure statistics ----
@@ -445,4 +446,7 @@ def flow_model_table(i: Inputs) -> DataFrame:
 
 @query("flow_structure_table", None)
 def flow_structure(i: Inputs) -> DataFrame:
-    return rounded(st.structure_metrics(heights(i), cell=CELL), 6, *st.STRUCTURE_METRICS)
+    # clips and normalized clouds are results of their own, read several times: written once
+    clips = stored(clouds(i), "clips")
+    normalized = stored(st.height_above_ground(clips, cell=CELL), "normalized")
+    return rounded(st.structure_metrics(normalized, cell=CELL), 6, *st.STRUCTURE_METRICS)
