@@ -70,8 +70,10 @@ FROM supplier""",
     "v_raster": """
 SELECT k.layer, CAST(floor(p_partkey / 50) AS INT) AS cell_row, CAST(p_partkey % 50 AS INT) AS cell_col,
        CAST(CASE WHEN k.layer = 'mat' AND p_partkey % 13 = 0 THEN NULL ELSE p_retailprice + CAST(k.off AS DOUBLE) END AS DOUBLE) AS value
-FROM part CROSS JOIN (SELECT 'map' AS layer, 0.0 AS off UNION ALL SELECT 'mat', 1.5
-                      UNION ALL SELECT 'tmax', 20.0 UNION ALL SELECT 'tmin', -20.0) k""",
+FROM (SELECT 'map' AS layer, 0.0 AS off, p_partkey, p_retailprice FROM part
+      UNION ALL SELECT 'mat', 1.5, p_partkey, p_retailprice FROM part
+      UNION ALL SELECT 'tmax', 20.0, p_partkey, p_retailprice FROM part
+      UNION ALL SELECT 'tmin', -20.0, p_partkey, p_retailprice FROM part) k""",
     "v_tsc": """
 SELECT n.n_name || '_' || lpad(CAST(c.c_custkey AS STRING), 6, '0') AS plot_id, n.n_name AS site,
        CAST(c.c_custkey % 4 AS INT) AS x_tsc_1996, CAST(c.c_custkey % 5 AS INT) AS x_tsc_1998,
