@@ -14,6 +14,7 @@ from understory.llm.html_text import extract_text
 from understory.llm.packing import Limits, pack
 from understory.llm.quality import FactorisationMachine, learn, score_quality
 from understory.llm.secrets import BASE_KINDS, scan_secrets, span_list
+from understory.llm.suffixes import repeated_strings
 from understory.llm.token_counts import token_counts
 from understory.session import scratch_path
 
@@ -101,6 +102,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id"""
 
 
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeated_strings(_table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(F.col("id").alias("doc_id"), (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _number_of(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
 
