@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from understory.llm.bitsliced import top_k
 from understory.llm.decontaminate import benchmark_hits, contaminated
 from understory.llm.html_text import extract_text
+from understory.llm.jaccard import jaccard_components
 from understory.llm.packing import Limits, pack
 from understory.llm.quality import FactorisationMachine, learn, score_quality
 from understory.llm.secrets import BASE_KINDS, scan_secrets, span_list
@@ -37,6 +38,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    membership, _ = jaccard_components(_table(spark, sf_dir, "documents"), percent=75)
+    return membership.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+LLM_ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS t FROM d UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.t)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d JOIN (SELECT v, min(t) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no label may be learnt from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
