@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from understory.llm.stages import packed
+from understory.llm.stages import good_quality, not_contaminated, one_of_each_group, packed, without_secrets
 from understory.session import stored
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", not_contaminated),
+    ("secret scans", without_secrets),
     ("packing", packed),
 ]
 
