@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from understory.llm.bitsliced import top_k
+from understory.llm.chat import Costs, format_chats
 from understory.llm.decontaminate import benchmark_hits, contaminated
 from understory.llm.html_text import extract_text
 from understory.llm.jaccard import jaccard_components
@@ -38,6 +39,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"), Costs(merge=1, relabel=3, insert=2, unknown=1))
+
+
 @_query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     membership, _ = jaccard_components(_table(spark, sf_dir, "documents"), percent=75)
