@@ -24,7 +24,8 @@ _ALPHA = (
 
 
 def utm_zone(lon: Column) -> Column:
-    return (F.floor((lon + 180.0) / 6.0) + 1).cast("int")
+    """Zone 1 to 60; the 180th meridian belongs to the last."""
+    return F.least(F.floor((lon + 180.0) / 6.0) + 1, F.lit(60)).cast("int")
 
 
 def to_utm(lon: Column, lat: Column) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from understory.functions.missing import if_else
 from understory.functions.scalars import extract_first, str_c, year_of
 from understory.operators.joins import left_join, member_of, right_join
+from understory.operators.ordering import join_back
 from understory.operators.verbs import matching_columns, stack_frames, to_long, visited_years
 
 SCALES = {"plot": ["site", "plot_id", "year"], "site": ["site", "year"]}
@@ -24,26 +25,32 @@ def taxon_cover(cover: DataFrame, scale: str = "plot") -> DataFrame:
 def diversity_metrics(cover: DataFrame, scale: str = "plot") -> DataFrame:
     """Richness, Shannon, relative exotic cover and the invaded label in two shuffles.
 
+    A taxon counts once whatever its codes; one recorded as native and as exotic
+    counts in both groups, each with its own cover. Records without a taxon add
+    to the cover totals only.
+
     Shannon uses H = ln(T) - sum(c ln c)/T, which needs no per-unit total
     beforehand and hence no join or window.
     """
-    taxa = taxon_cover(cover, scale)
     groups = {"total": F.lit(True), "native": F.col("nativity") == "N",
               "exotic": F.col("nativity") == "I"}
-    c = F.when(F.col("cover") > 0, F.col("cover"))
-    aggs = []
-    for name, cond in groups.items():
-        aggs += [F.count(F.when(cond, 1)).alias(f"nspp_{name}"),
-                 F.sum(F.when(cond, c)).alias(f"_t_{name}"),
-                 F.sum(F.when(cond, c * F.ln(c))).alias(f"_cl_{name}")]
+    taxa = cover.groupBy(*SCALES[scale], "species").agg(*[
+        a for name, cond in groups.items() for a in (
+            F.count(F.when(cond, 1)).alias(f"_n_{name}"), F.sum(F.when(cond, F.col("cover"))).alias(f"_c_{name}"))])
+    known, aggs = F.col("species").isNotNull(), []
+    for name in groups:
+        c = F.when(F.col(f"_c_{name}") > 0, F.col(f"_c_{name}"))
+        aggs += [F.count(F.when(known & (F.col(f"_n_{name}") > 0), 1)).alias(f"nspp_{name}"),
+                 F.sum(F.when(known, c)).alias(f"_t_{name}"), F.sum(c).alias(f"_a_{name}"),
+                 F.sum(F.when(known, c * F.ln(c))).alias(f"_cl_{name}")]
     wide = taxa.groupBy(*SCALES[scale]).agg(*aggs)
     shannon = {f"shannon_{g}": F.ln(F.col(f"_t_{g}")) - F.try_divide(F.col(f"_cl_{g}"), F.col(f"_t_{g}"))
                for g in groups}
-    exotic = F.coalesce(F.col("_t_exotic"), F.lit(0.0))
+    exotic = F.coalesce(F.col("_a_exotic"), F.lit(0.0))
     return (wide.withColumns(shannon)
-            .withColumn("rel_cover_exotic", F.try_divide(exotic, F.col("_t_total")))
+            .withColumn("rel_cover_exotic", F.try_divide(exotic, F.col("_a_total")))
             .withColumn("invaded", F.when(F.col("nspp_exotic") > 0, "invaded").otherwise("not invaded"))
-            .drop(*[f"_{k}_{g}" for k in ("t", "cl") for g in groups]))
+            .drop(*[f"_{k}_{g}" for k in ("t", "a", "cl") for g in groups]))
 
 
 def beta_diversity(cover: DataFrame, scale: str = "plot") -> DataFrame:
@@ -55,7 +62,7 @@ def beta_diversity(cover: DataFrame, scale: str = "plot") -> DataFrame:
     sum min(S_i,S_j) follows from the richness histogram. NULL with one unit.
     """
     keys, unit = SCALES[scale], SUB_UNITS[scale]
-    presence = cover.select(*keys, unit, "species").distinct()
+    presence = cover.filter(F.col("species").isNotNull()).select(*keys, unit, "species").distinct()
 
     shared = (presence.groupBy(*keys, "species").agg(F.count(F.lit(1)).alias("n"))
               .groupBy(*keys)
@@ -70,7 +77,7 @@ def beta_diversity(cover: DataFrame, scale: str = "plot") -> DataFrame:
     units = hist.groupBy(*keys).agg(
         F.sum(m).alias("n_units"), F.sum(s * m).alias("_sum_s"),
         F.sum(s * (m * (m - 1) / 2.0 + m * F.col("_hi"))).alias("_min_s"))
-    j = units.join(shared, keys)
+    j = join_back(units, shared, keys)
     mins = F.col("_min_s") - F.col("_a")
     maxs = (F.col("n_units") - 1) * F.col("_sum_s") - F.col("_min_s") - F.col("_a")
     excess = F.col("_sum_s") - F.col("_st")
@@ -83,7 +90,7 @@ def beta_diversity(cover: DataFrame, scale: str = "plot") -> DataFrame:
 def diversity_info(cover: DataFrame, scale: str) -> DataFrame:
     """All metrics of one scale, tagged with it."""
     keys = SCALES[scale]
-    out = diversity_metrics(cover, scale).join(beta_diversity(cover, scale), keys, "left")
+    out = join_back(diversity_metrics(cover, scale), beta_diversity(cover, scale), keys)
     return out.withColumn("scale", F.lit(scale))
 
 

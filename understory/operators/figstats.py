@@ -22,7 +22,7 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     ends = fenced.groupBy(*keys).agg(
         F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"))
-    return q.join(ends, keys) if keys else join_back(q, ends, keys)
+    return join_back(q, ends, keys)
 
 
 def _fences(q: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def loess(df: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 0.75
 
     at = [*keys, "idx"]
     dist = near.groupBy(*at, "_d").agg(F.sum("_n").alias("n"), F.max("_tot").alias("_tot"))
-    bw = nth_smallest(dist, at, "_d", F.least(F.greatest(F.floor(F.col("_tot") * span), F.lit(1)), F.col("_tot")))
+    bw = nth_smallest(dist, at, "_d", F.least(F.greatest(F.floor(F.col("_tot") * span + 1e-5), F.lit(1)), F.col("_tot")))
     scale = max(1.0, span)
     wide = join_back(near, bw, at).withColumn("_h", F.col("_kth") * scale)
     u = F.try_divide(F.col("_d"), F.col("_h"))

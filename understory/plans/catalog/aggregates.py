@@ -81,16 +81,14 @@ def agg6(i: Inputs) -> DataFrame:
     return rounded(out, 2, "mean_exotic_spp", "percent_invaded_plots", "mean_ir", "mean_ii")
 
 
-@query("agg7_invasion_by_land_cover", invasion_sql("nlcd", where="rel_cover_exotic IS NOT NULL") + """
+@query("agg7_invasion_by_land_cover", invasion_sql("nlcd") + """
 SELECT s.nlcd, round(nspp, 2) AS mean_exotic_spp, round(i * 100, 2) AS percent_invaded_plots,
        round(ir * 100, 2) AS relative_richness_non_native, round(ii * 100, 2) AS relative_abundance_non_native, c.n
-FROM s JOIN (SELECT t.nlcd, count(*) AS n FROM v_plot_year p JOIN v_nlcd t ON p.plot_id = t.plot_id
-                  WHERE p.rel_cover_exotic IS NOT NULL GROUP BY t.nlcd) c
+FROM s JOIN (SELECT t.nlcd, count(*) AS n FROM v_plot_year p JOIN v_nlcd t ON p.plot_id = t.plot_id GROUP BY t.nlcd) c
 ON s.nlcd = c.nlcd
 WHERE nspp IS NOT NULL AND i IS NOT NULL AND ir IS NOT NULL AND ii IS NOT NULL""")
 def agg7(i: Inputs) -> DataFrame:
-    complete = i.plot_year.dropna(subset=["rel_cover_exotic"])
-    d = complete.join(i.view("v_nlcd").select("plot_id", "nlcd"), "plot_id", "left")
+    d = i.plot_year.join(i.view("v_nlcd").select("plot_id", "nlcd"), "plot_id", "left")
     return invasion_by_land_cover(d)
 
 

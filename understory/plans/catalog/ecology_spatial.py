@@ -47,7 +47,7 @@ def div2(i: Inputs) -> DataFrame:
 def shannon_sql(where: str, name: str) -> str:
     return f"""(SELECT site, plot_id, year, round(sum(-c / t * ln(c / t)), 4) AS {name} FROM (
   SELECT site, plot_id, year, c, sum(c) OVER (PARTITION BY site, plot_id, year) AS t FROM (
-    SELECT site, plot_id, year, species, sum(cover) AS c FROM v_cover WHERE {where}
+    SELECT site, plot_id, year, species, sum(cover) AS c FROM v_cover WHERE species IS NOT NULL AND ({where})
     GROUP BY site, plot_id, year, species) x WHERE c > 0) y GROUP BY site, plot_id, year)"""
 
 
@@ -80,7 +80,7 @@ def beta_sql(keys: str, unit: str) -> str:
     on = " AND ".join(f"x.{k.strip()} = y.{k.strip()}" for k in keys.split(","))
     xk = ", ".join(f"x.{k.strip()}" for k in keys.split(","))
     return f"""
-WITH pres AS (SELECT DISTINCT {keys}, {unit} AS u, species FROM v_cover),
+WITH pres AS (SELECT DISTINCT {keys}, {unit} AS u, species FROM v_cover WHERE species IS NOT NULL),
 rich AS (SELECT {keys}, u, count(*) AS s FROM pres GROUP BY {keys}, u),
 grp AS (SELECT {keys}, count(DISTINCT species) AS st FROM pres GROUP BY {keys}),
 units AS (SELECT {keys}, count(*) AS n_units, sum(s) AS ss FROM rich GROUP BY {keys}),
@@ -295,7 +295,7 @@ def sp12(i: Inputs) -> DataFrame:
 
 
 LAYER_SQL = f"""{HAG_SQL},
-layers AS (SELECT plot_id, CAST(floor(z) AS BIGINT) AS layer, count(*) AS n, max(z) AS zmax FROM hag WHERE z >= 0
+layers AS (SELECT plot_id, CAST(floor(greatest(z, 0)) AS BIGINT) AS layer, count(*) AS n, greatest(max(z), 0) AS zmax FROM hag WHERE z IS NOT NULL
            GROUP BY 1, 2)"""
 
 

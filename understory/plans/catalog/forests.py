@@ -12,7 +12,7 @@ from understory.operators.explain import (aligned_mean_curves, centered_logit, f
 from understory.operators.forest import (CrossValidation, ModelSpec, accuracy, assemble, complete_cases, fit_forest,
                                          holdout_metrics, holdout_predictions, permutation_importance, rsq, run_cv,
                                          run_cv_by_site, site_metrics, specs_for)
-from understory.operators.resample import analysis, assessment, group_folds, train_test_split
+from understory.operators.resample import group_folds, split_sizes, train_test_split
 from understory.operators.verbs import stack_tagged
 from understory.plans.catalog.aggregates import FOLDS_SQL, rounded
 from understory.plans.catalog.ecology_spatial import model_table
@@ -47,14 +47,7 @@ def ml1(i: Inputs) -> DataFrame:
 SELECT f.fold, count(*) AS n_assessment, (SELECT count(*) FROM v_plot_year) - count(*) AS n_analysis
 FROM v_plot_year p JOIN ({FOLDS_SQL}) f ON f.g = p.plot_id GROUP BY f.fold""")
 def ml2(i: Inputs) -> DataFrame:
-    folded = group_folds(i.plot_year, "plot_id", v=10, seed=7)
-    parts = [assessment(folded, k).agg(F.count(F.lit(1)).alias("n_assessment")).select(
-        F.lit(k).alias("fold"), "n_assessment",
-        analysis(folded, k).agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_analysis")) for k in range(10)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return split_sizes(group_folds(i.plot_year, "plot_id", v=10, seed=7))
 
 
 @query("ml3_grouped_train_test_split", f"""

@@ -257,7 +257,7 @@ def jn6(i: Inputs) -> DataFrame:
 
 @query("jn7_first_row_per_key", """
 SELECT plot_id, rec_id, species, year FROM (
-  SELECT *, row_number() OVER (PARTITION BY plot_id ORDER BY rec_id, species, year) AS rn FROM v_cover) t WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY plot_id ORDER BY rec_id, species NULLS FIRST, year) AS rn FROM v_cover) t WHERE rn = 1""")
 def jn7(i: Inputs) -> DataFrame:
     return first_per_key(i.cover.select("plot_id", "rec_id", "species", "year"), ["plot_id"],
                          ["rec_id", "species", "year"])

@@ -38,10 +38,12 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS rec_id,
        CAST(year(o.o_orderdate) AS INT) AS year,
        substr(CAST(o.o_orderdate AS STRING), 1, 7) AS monthyear,
        n.n_name || substr(CAST(o.o_orderdate AS STRING), 1, 7) AS sitemonthyear,
-       'sp' || lpad(CAST(l.l_partkey % 120 AS STRING), 3, '0') AS species,
+       CASE WHEN l.l_partkey % 97 = 5 THEN NULL ELSE 'sp' || lpad(CAST(l.l_partkey % 120 AS STRING), 3, '0') END AS species,
        CASE WHEN l.l_partkey % 120 < 8 AND n.n_regionkey <> 0 THEN 'I'
-            WHEN l.l_partkey % 120 < 16 THEN 'UNK' ELSE 'N' END AS nativity,
-       CASE WHEN (l.l_orderkey + l.l_linenumber) % 17 = 0 THEN NULL ELSE l.l_quantity END AS cover
+            WHEN l.l_partkey % 120 < 16 THEN 'UNK'
+            WHEN l.l_partkey % 120 < 20 AND l.l_linenumber % 3 = 0 AND n.n_regionkey <> 0 THEN 'I' ELSE 'N' END AS nativity,
+       CASE WHEN (l.l_orderkey + l.l_linenumber) % 17 = 0 AND c.c_mktsegment IN ('BUILDING', 'MACHINERY') THEN NULL
+            ELSE l.l_quantity END AS cover
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "v_dates": """
@@ -111,16 +113,16 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     # plot-year metrics; the oracle's own definition, Spark builds them with the diversity operators
     "v_plot_year": """
 SELECT t.site, t.plot_id, t.year,
-       CAST(count(*) AS BIGINT) AS nspp_total,
-       CAST(count(CASE WHEN nativity = 'N' THEN 1 END) AS BIGINT) AS nspp_native,
-       CAST(count(CASE WHEN nativity = 'I' THEN 1 END) AS BIGINT) AS nspp_exotic,
+       CAST(count(DISTINCT species) AS BIGINT) AS nspp_total,
+       CAST(count(DISTINCT CASE WHEN nativity = 'N' THEN species END) AS BIGINT) AS nspp_native,
+       CAST(count(DISTINCT CASE WHEN nativity = 'I' THEN species END) AS BIGINT) AS nspp_exotic,
        coalesce(sum(CASE WHEN nativity = 'I' THEN cover END), CAST(0 AS DOUBLE)) / nullif(sum(cover), CAST(0 AS DOUBLE))
          AS rel_cover_exotic,
-       CASE WHEN count(CASE WHEN nativity = 'I' THEN 1 END) > 0 THEN 'invaded' ELSE 'not invaded' END AS invaded,
-       CASE WHEN count(CASE WHEN nativity = 'I' THEN 1 END) > 0 THEN 1 ELSE 0 END AS i_cat,
-       CAST(count(CASE WHEN nativity = 'I' THEN 1 END) AS DOUBLE) / count(*) AS rer
-FROM (SELECT site, plot_id, year, species, nativity, sum(cover) AS cover FROM v_cover
-      GROUP BY site, plot_id, year, species, nativity) t
+       CASE WHEN count(DISTINCT CASE WHEN nativity = 'I' THEN species END) > 0 THEN 'invaded' ELSE 'not invaded' END AS invaded,
+       CASE WHEN count(DISTINCT CASE WHEN nativity = 'I' THEN species END) > 0 THEN 1 ELSE 0 END AS i_cat,
+       CAST(count(DISTINCT CASE WHEN nativity = 'I' THEN species END) AS DOUBLE)
+         / nullif(CAST(count(DISTINCT species) AS DOUBLE), CAST(0 AS DOUBLE)) AS rer
+FROM v_cover t
 GROUP BY t.site, t.plot_id, t.year""",
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from understory.functions.missing import if_else, not_in
 from understory.functions.scalars import relative_richness, terrain_terms
 from understory.operators.diversity import time_since_change
-from understory.operators.joins import natural_left_join
+from understory.operators.joins import left_join, natural_left_join
 from understory.operators.spatial import GridTransform, sample_raster, sample_raster_360
 from understory.operators.verbs import split_by_site, stack_frames
 
@@ -46,6 +46,8 @@ def build_model_table(insitu: DataFrame, history: DataFrame, centroids: DataFram
     dd_rest = natural_left_join(dd_rest, changes)
 
     plots = base_plots(centroids)
-    norms = sample_raster(plots, grid[0], grid[1]).drop("longitude")
-    norms_ak = sample_raster_360(plots, grid_alaska[0], grid_alaska[1]).drop("longitude")
-    return stack_frames([natural_left_join(dd_rest, norms), natural_left_join(dd_ak, norms_ak)])
+    # the plot is the only key: a coordinate the plot table already has stays, and is no key
+    known = [c for c in ("latitude", "longitude") if c in dd.columns]
+    norms = sample_raster(plots, grid[0], grid[1]).drop("longitude", *known)
+    norms_ak = sample_raster_360(plots, grid_alaska[0], grid_alaska[1]).drop("longitude", *known)
+    return stack_frames([left_join(dd_rest, norms, ["plot_id"]), left_join(dd_ak, norms_ak, ["plot_id"])])

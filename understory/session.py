@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WRITERS = 8  # tasks that share one partition folder of a stored table
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
@@ -53,11 +55,16 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a frame to a fresh table in the shared scratch folder and read it back.
 
     Cuts the lineage through shared storage: the plan becomes a scan, and a lost
-    executor costs a re-read.
+    executor costs a re-read. Rows of one partition folder are first brought
+    together in a few slices by source task, so there are few files and a hot
+    folder still has several writers. Partition values keep their type.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df
+    if partition_by:
+        out = (df.withColumn("_slice", F.spark_partition_id() % WRITERS).repartition(*partition_by, "_slice").drop("_slice"))
+    out.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_limit(spark: SparkSession) -> int:

@@ -17,17 +17,30 @@ from understory.operators.verbs import canonical_names, map_columns
 from understory.session import broadcast_if_small
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; `NA` and empty fields are NULL, and so is NaN."""
-    df = spark.read.csv(path, schema=schema, header=True, nullValue="NA", mode="FAILFAST")
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header; `NA` and empty fields are NULL, and so is NaN.
+
+    Columns are found by the names of the header; every file must have the same
+    header. Without a schema all columns are read and their types inferred.
+    """
+    how = {"header": True, "nullValue": "NA", "mode": "FAILFAST"}
+    if schema is None:
+        df = spark.read.csv(path, inferSchema=True, **how)
+    else:
+        found = spark.read.csv(path, header=True).columns
+        if gone := [f.name for f in schema.fields if f.name not in found]:
+            raise ValueError(f"no column {gone} in the header {found}")
+        text = T.StructType([T.StructField(c, T.StringType()) for c in found])
+        df = spark.read.csv(path, schema=text, enforceSchema=False, **how)
+        df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
     df = canonical_names(df)
     return map_columns(df, [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)], nan_to_null)
 
 
-def scan_csv_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV with every column as text, for later try_cast."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return scan_csv(spark, path, schema)
+def scan_csv_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV with every column (or those named) as text, for later try_cast."""
+    columns = columns or spark.read.csv(path, header=True).columns
+    return scan_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
@@ -60,25 +73,34 @@ def scan_ascii_grid(spark: SparkSession, path: str, layers: Mapping[str, str],
     `name_pattern` picks a name out of each file's path (default: the file name
     without extension) and `layers` maps it to a layer; other files are skipped.
     The result frames are (layer, cell_row, cell_col, value) and
-    (layer, x0, y0, dx, dy, nodata); no-data cells have a NULL value. Lines keep
-    their file order through the split offset and the position in the split.
+    (layer, x0, y0, dx, dy, nodata); no-data cells have a NULL value. Lines are
+    numbered in each split and shifted by the lines of the splits before it, so no
+    task holds a whole layer. Two files for one layer are an error.
     """
     name = F.regexp_extract(F.col("_metadata.file_path"), name_pattern, 1)
     lines = (spark.read.text(path)
-             .select(map_lookup(name, layers).alias("layer"), F.col("_metadata.file_block_start").alias("_at"),
+             .select(map_lookup(name, layers).alias("layer"), F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_at"),
                      F.monotonically_increasing_id().alias("_id"), F.trim("value").alias("line"))
              .filter(F.col("layer").isNotNull() & (F.col("line") != "")))
     parts = F.split("line", r"\s+")
     is_head = F.lower(parts[0]).isin(list(GRID_HEADER))
     head = (lines.filter(is_head).groupBy("layer")
-            .agg(*[F.max(F.when(F.lower(parts[0]) == h, parts[1].cast("double"))).alias(h) for h in GRID_HEADER]))
+            .agg(*[F.max(F.when(F.lower(parts[0]) == h, parts[1].cast("double"))).alias(h) for h in GRID_HEADER],
+                 F.min("_file").alias("_first"), F.max("_file").alias("_last")))
+    twice = F.raise_error(F.concat(F.lit("two files for layer "), F.col("layer")))
+    head = head.withColumn("nodata_value", F.when(F.col("_first") == F.col("_last"), F.col("nodata_value")).otherwise(twice))
     transform = head.select(
         "layer", F.col("xllcorner").alias("x0"),
         (F.col("yllcorner") + F.col("nrows") * F.col("cellsize")).alias("y0"),
         F.col("cellsize").alias("dx"), F.col("cellsize").alias("dy"), F.col("nodata_value").alias("nodata"))
-    # one row per grid line, so the window is bounded by the grid's height
-    in_file = W.partitionBy("layer").orderBy("_at", "_id")
-    rows = lines.filter(~is_head).withColumn("cell_row", (F.row_number().over(in_file) - 1).cast("int"))
+    body = lines.filter(~is_head)
+    before = W.partitionBy("layer").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    shift = (body.groupBy("layer", "_at").agg(F.count(F.lit(1)).alias("_n"))
+             .select("layer", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))
+    in_split = W.partitionBy("layer", "_at").orderBy("_id")
+    rows = (body.withColumn("_k", F.row_number().over(in_split) - 1).join(shift, ["layer", "_at"])
+            .withColumn("cell_row", (F.col("_k") + F.col("_shift")).cast("int")))
     cells = rows.select("layer", "cell_row", F.posexplode(parts).alias("cell_col", "v"))
     cells = cells.join(broadcast_if_small(transform.select("layer", "nodata")), "layer", "left")
     v = F.col("v").cast("double")
@@ -87,9 +109,11 @@ def scan_ascii_grid(spark: SparkSession, path: str, layers: Mapping[str, str],
 
 
 def grid_transform(transform: DataFrame) -> GridTransform:
-    """The common transform of a stack (one row is read)."""
-    r = transform.select("x0", "y0", "dx", "dy").first()
-    return GridTransform(r["x0"], r["y0"], r["dx"], r["dy"])
+    """The common transform of a stack; layers on different grids are refused."""
+    rows = transform.select("x0", "y0", "dx", "dy").distinct().limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("the layers have no common grid: sample them one by one")
+    return GridTransform(*rows[0])
 
 
 def write_cover(cover: DataFrame, path: str) -> None:
@@ -98,8 +122,10 @@ def write_cover(cover: DataFrame, path: str) -> None:
 
 
 def scan_cover(spark: SparkSession, path: str, sites: Sequence[str] | None = None) -> DataFrame:
-    """Landed cover records; a site list prunes partitions."""
-    df = spark.read.option("inferSchema", False).parquet(path).withColumn("site", F.col("site").cast("string"))
+    """Landed cover records; a site list prunes partitions. Sites are text, so leading zeros stay."""
+    found = spark.read.parquet(path).schema
+    text = T.StructType([T.StructField("site", T.StringType()) if f.name == "site" else f for f in found.fields])
+    df = spark.read.schema(text).parquet(path)
     return df.filter(F.col("site").isin(list(sites))) if sites else df
 
 
