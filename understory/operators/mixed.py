@@ -35,7 +35,11 @@ INNER_NEAR = 1   # enough for candidates a small step away from a converged cent
 
 @dataclass
 class MixedFit:
-    """Estimates of a fitted model; `modes` holds the random effects as (site, plot, u_site, u_plot)."""
+    """Estimates of a fitted model; `modes` holds the random effects as (site, plot, u_site, u_plot).
+
+    `n_rows` were used and `n_dropped` left out for a missing value. `converged` is
+    true only if the next step was predicted to gain less than the tolerance.
+    """
 
     family: str
     label: str
@@ -49,6 +53,8 @@ class MixedFit:
     n_iter: int
     converged: bool
     keys: tuple[str, str]
+    n_rows: int
+    n_dropped: int
     modes: DataFrame = field(repr=False)
 
     @property
@@ -67,6 +73,11 @@ class MixedFit:
         se = np.sqrt(np.maximum(np.diag(self.vcov), 0))
         return coef_frame(self.modes.sparkSession, self.terms, self.estimate, se)
 
+    def with_fit(self, table: DataFrame) -> DataFrame:
+        """A table with how the fit went: rows used and left out, steps, convergence."""
+        return table.withColumns({"n_rows": F.lit(self.n_rows), "n_dropped": F.lit(self.n_dropped),
+                                  "n_iter": F.lit(self.n_iter), "converged": F.lit(self.converged)})
+
     def residual_variance(self, mean: float | None = None) -> float:
         """Link-scale residual variance: pi^2/3 for logit, ln(1+cv^2) at the mean for beta."""
         if self.family == "binomial":
@@ -101,6 +112,7 @@ class _Problem:
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"),
                          *[f(f"_x{j}").alias(f"{t}{j}") for j in range(len(x))
                            for t, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+        self.n_rows, self.n_dropped = stats["n"], df.count() - stats["n"]
         low, high = stats["lo"], stats["hi"]
         if family == "beta" and not (low > 0 and high < 1):
             raise ValueError("a beta response must lie strictly between 0 and 1")
@@ -304,8 +316,7 @@ def fit_mixed(df: DataFrame, label: str, features: Sequence[str], site: str = "s
         tried = stored(prob.climb(tries, modes, INNER), "tried")
         tval = prob.evaluate(tries, tried)
         best = int(np.nanargmax(tval))
-        if not tval[best] > val[0]:  # nothing left to gain along the step
-            converged = True
+        if not tval[best] > val[0]:  # the predicted gain isn't there along the step: not converged
             break
         theta = tries[best]
         modes = tried.filter(F.col("_k") == best).drop("_k")
@@ -324,7 +335,7 @@ def fit_mixed(df: DataFrame, label: str, features: Sequence[str], site: str = "s
                        F.col("_up").alias("u_plot"))
     return MixedFit(family, label, ["(Intercept)", *features], to_raw @ theta[:p], to_raw @ cov[:p, :p] @ to_raw.T,
                     math.exp(theta[p]), math.exp(theta[p + 1]), math.exp(theta[p + 2]) if family == "beta" else None,
-                    float(val[0]), n_iter, converged, (site, plot), out)
+                    float(val[0]), n_iter, converged, (site, plot), prob.n_rows, prob.n_dropped, out)
 
 
 @dataclass
@@ -333,6 +344,7 @@ class ZeroInflatedFit:
 
     zero: MixedFit
     cond: MixedFit
+    n_ones: int = 0
 
     def coef_table(self) -> DataFrame:
         parts = [f.coef_table().withColumns({"component": F.lit(n), "effect": F.lit("fixed")})
@@ -350,15 +362,19 @@ class ZeroInflatedFit:
 
 
 def fit_zero_inflated_beta(df: DataFrame, label: str, features: Sequence[str], zero_features: Sequence[str] = (),
-                           site: str = "site", plot: str = "plot_id", **params) -> ZeroInflatedFit:
+                           site: str = "site", plot: str = "plot_id", drop_ones: bool = False,
+                           **params) -> ZeroInflatedFit:
     """Zero-inflated beta model with random intercepts in both parts.
 
     A beta variable is never 0, so the likelihood splits into a logit model of
-    y = 0 on all rows and a beta model on the positive rows.
+    y = 0 on all rows and a beta model on the positive rows. It is never 1
+    either: such rows are an error, unless `drop_ones` leaves them out of both
+    parts; `n_ones` tells how many they were.
     """
     y = F.col(label)
-    rows = df.filter(y.isNotNull())
+    n_ones = df.filter(y == 1).count()
+    rows = df.filter(y.isNotNull() & (y < 1)) if drop_ones else df.filter(y.isNotNull())
     zero = fit_mixed(rows.withColumn("_is_zero", (y == 0).cast("double")), "_is_zero", zero_features, site, plot,
                      "binomial", **params)
     cond = fit_mixed(rows.filter(y > 0), label, features, site, plot, "beta", **params)
-    return ZeroInflatedFit(zero, cond)
+    return ZeroInflatedFit(zero, cond, n_ones if drop_ones else 0)

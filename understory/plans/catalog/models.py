@@ -40,13 +40,8 @@ def invasion_model(i: Inputs) -> MixedFit:
     return remembered(i, "mpi", lambda: fit_mixed(mixed_table(i), "i_cat", TERMS))
 
 
-def below_one(i: Inputs, label: str) -> DataFrame:
-    """A share of exactly 1 has no beta density; such rows are no valid input."""
-    return mixed_table(i).filter(F.col(label) < 1)
-
-
 def rate_model(i: Inputs) -> ZeroInflatedFit:
-    return remembered(i, "mir", lambda: fit_zero_inflated_beta(below_one(i, "rer"), "rer", TERMS))
+    return remembered(i, "mir", lambda: fit_zero_inflated_beta(mixed_table(i), "rer", TERMS, drop_ones=True))
 
 
 @query("gl1_pca_scores")
@@ -87,15 +82,15 @@ def gl2(i: Inputs) -> DataFrame:
 @query("gl3_nested_random_intercepts")
 def gl3(i: Inputs) -> DataFrame:
     fit = invasion_model(i)
-    return rounded(fit.coef_table().withColumns({"sigma_site": F.lit(fit.sigma_site), "sigma_plot": F.lit(fit.sigma_plot),
-                                                 "loglik": F.lit(fit.loglik)}), 4, "estimate", "std_error", "statistic",
+    return rounded(fit.with_fit(fit.coef_table().withColumns({"sigma_site": F.lit(fit.sigma_site), "sigma_plot": F.lit(fit.sigma_plot),
+                                                              "loglik": F.lit(fit.loglik)})), 4, "estimate", "std_error", "statistic",
                    "p_value", "sigma_site", "sigma_plot", "loglik")
 
 
 @query("gl4_beta_regression")
 def gl4(i: Inputs) -> DataFrame:
     fit = rate_model(i).cond
-    return rounded(fit.coef_table().withColumn("phi", F.lit(fit.phi)), 4, "estimate", "std_error", "statistic", "p_value",
+    return rounded(fit.with_fit(fit.coef_table().withColumn("phi", F.lit(fit.phi))), 4, "estimate", "std_error", "statistic", "p_value",
                    "phi")
 
 
@@ -106,7 +101,8 @@ def gl5_share(i: Inputs) -> DataFrame:
 
 @query("gl5_zero_inflated_beta")
 def gl5(i: Inputs) -> DataFrame:
-    return rounded(rate_model(i).coef_table(), 4, "estimate", "std_error", "statistic", "p_value")
+    fit = rate_model(i)
+    return rounded(fit.coef_table().withColumn("n_ones_dropped", F.lit(fit.n_ones)), 4, "estimate", "std_error", "statistic", "p_value")
 
 
 @query("gl6_wald_tests", _CELLS + """
