@@ -32,20 +32,19 @@ from understory.llm.text import SpanHasher, mixed, quoted, ready, text_runs, utf
 from understory.session import scratch_path
 
 GRAM = 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Text bytes for each range of keys; sets how many ranges, so a merging task's size stays the same as data grows.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 _U = np.uint64
 
 
 # ---- suffix arrays
 
-def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one number that sorts as they do; zeros behind the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << _U(8)) | padded[at + k]
+    out = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        out = (out[:-k] << _U(8 * k)) | out[k:]
     return out
 
 
@@ -57,10 +56,9 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     last round goes only as far as `depth`.
     """
     n = len(data)
-    every = np.arange(n, dtype=np.int64)
-    key = _words_at(data, every)
-    order = np.argsort(key, kind="stable")
-    rank = _ranks(order, key[order], np.zeros(n, np.int64), np.zeros(n, np.int64))
+    key = eight_bytes(data)
+    order = np.argsort(key)
+    rank = _ranks(order, key[order])
     h = 8
     while h < depth:
         step = min(h, depth - h)
@@ -71,7 +69,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         members = order[slots]
         further = members + step
         behind = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
-        again = np.lexsort((behind, rank[members]))
+        again = np.argsort(rank[members].astype(np.uint64) << _U(32) | behind.astype(np.uint64))
         members, behind = members[again], behind[again]
         order[slots] = members
         rank = _refined(rank, members, behind, slots)
@@ -79,10 +77,10 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def _ranks(order, key, rank, _):
-    starts = np.ones(len(order), bool)
+def _ranks(order, key):
+    rank, starts = np.zeros(len(order), np.int64), np.ones(len(order), bool)
     starts[1:] = key[1:] != key[:-1]
-    rank[order] = np.flatnonzero(starts)[np.cumsum(starts) - 1] if len(order) else 0
+    rank[order] = np.flatnonzero(starts)[np.cumsum(starts) - 1]
     return rank
 
 
@@ -103,13 +101,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     """
     out = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
-    n = len(data)
-    done = 0
+    words, n, done = eight_bytes(data), len(data), 0
     while len(live) and done < limit:
         a, b = order[live - 1] + done, order[live] + done
         inside = (a < n) & (b < n)
         live, a, b = live[inside], a[inside], b[inside]
-        differ = _words_at(data, a) ^ _words_at(data, b)
+        differ = words[a] ^ words[b]
         equal = np.full(len(live), 8)
         some = differ != 0
         equal[some] = (63 - np.floor(np.log2(differ[some].astype(np.longdouble))).astype(np.int64)) // 8
@@ -135,31 +132,15 @@ class Shard:
         if n > 0:
             at = np.arange(len(data) - GRAM + 1)
             gram = self.hash(at, at + GRAM)
-            least = window_min(gram, self.window)
-            # the leftmost gram with the smallest hash of each string
-            self.anchor = self._leftmost(gram, least)
+            # the leftmost gram with the smallest hash of each string: the place in the low bits settles ties
+            low = _U((1 << int(len(gram)).bit_length()) - 1)
+            self.anchor = (window_min((gram & ~low) | at.astype(np.uint64), self.window) & low).astype(np.int64)
         else:
             gram, self.anchor = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.anchors = np.unique(self.anchor[self.valid])
         self.gram = gram[self.anchors]
         self.doc = self.owner[self.anchors] if len(self.anchors) else np.zeros(0, np.int64)
 
-    def _leftmost(self, gram, least):
-        """For each window its first place of the minimum: the next place at or behind its start that holds it."""
-        out = np.full(len(least), -1)
-        for k in range(self.window):
-            hit = (out < 0) & (gram[k:k + len(least)] == least)
-            if k == 0:
-                out[hit] = np.flatnonzero(hit)
-                left = np.flatnonzero(~hit)
-            else:
-                hit = gram[left + k] == least[left]
-                out[left[hit]] = left[hit] + k
-                left = left[~hit]
-            if not len(left):
-                break
-        return out
-
     def contexts(self, which: np.ndarray) -> np.ndarray:
         """Hash of all bytes around chosen anchors that a string with this anchor can hold, and of where it stands."""
         at, doc = self.anchors[which], self.doc[which]
@@ -178,7 +159,9 @@ class Shard:
         out = np.zeros(len(self.valid), bool)
         if not len(out):
             return out
-        order, _ = suffix_array(self.data, self.length)
+        order, rank = suffix_array(self.data, self.length)
+        # only positions with equals matter, and they stand together
+        order = order[np.bincount(rank, minlength=len(rank))[rank[order]] > 1]
         order = order[order < len(out)]
         order = order[self.valid[order]]
         starts = common_prefixes(self.data, order, self.length) < self.length
@@ -321,7 +304,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     def send(rounds: int):
         def run(batches):
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     parts = list(state(row, rounds)[1].ranges(bits))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int64()),
@@ -330,7 +313,7 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
 
     def finish(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 s, elsewhere, at, contexts = state(row, 3)
                 covered = s.covered_here()
                 covered[s.strings(contexts)] = True
@@ -352,6 +335,12 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     return done.unionByName(unknown)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one, as a shard's row is large."""
+    for k in range(batch.num_rows):
+        yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 def _with_answers(spark, table: str, answers: DataFrame | None) -> DataFrame:
     shards = spark.table(table)
     if answers is None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of rows of about this many bytes; one longer text is a run of its own.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -110,11 +110,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             table[0] = 1
             with np.errstate(over="ignore"):
                 np.cumprod(table, out=table)
-            if size > 4 * RUN_BYTES:  # a single very long text: don't keep what only it needs
+            if size > RUN_BYTES + 1:  # a single very long text: don't keep what only it needs
                 _POWERS[key + "_long"] = table
             else:
                 _POWERS[key] = table
-        if size > 4 * RUN_BYTES:
+        if size > RUN_BYTES + 1:
             return _POWERS.pop("up_long"), _POWERS.pop("down_long")
     return _POWERS["up"], _POWERS["down"]
 
