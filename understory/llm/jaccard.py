@@ -5,28 +5,35 @@ tell nothing apart; here each set finds its pivots by a shared shingle. Of two s
 quarter of the shingles of either holds one of the other's (the prefix bound), so each shingle, as a rare one, makes a
 cell of sets, and the cell's pivot is its smallest set. All sets with one pivot are its region; a set near a border lies
 in the regions of all pivots of its rare shingles. Every set is compared with its pivots. Those within the radius join
-the pivot's component at once; of the others, only pairs of different components whose distances to the region's pivot
-differ by no more than the radius (the triangle inequality) are compared, and only where the sizes allow a link.
+the pivot's component at once. Where many members of a large region are outside, the members nearest to the pivot
+become pivots themselves, again and again. Of what is left, only pairs of different components whose distances to the
+region's pivot differ by no more than the radius (the triangle inequality) are compared, and only where sizes and
+signatures (counts of shingles in BINS classes, whose difference bounds the symmetric difference from below) allow a link.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from understory.llm.text import SpanHasher, mixed, pick, ready, run_hash, text_runs, utf8, word_spans
-from understory.session import stored
+from understory.llm.text import RUN_BYTES, SpanHasher, mixed, pick, ready, run_hash, text_runs, utf8, word_spans
+from understory.session import scratch_path, stored
 
 SHINGLE = 5
 #: Shingles that are ordered last because many sets hold them; their number bounds what is broadcast.
-FREQUENT = 1 << 16
-#: A shingle counts as frequent in a batch from this many sets on.
-LOCAL_COUNT = 3
+FREQUENT = 1 << 18
+#: Shingles are counted in spans of so many, and a span passes on what at least LOCAL_COUNT of its sets share.
+SPAN, LOCAL_COUNT = 1 << 22, 2
 #: Cells of every so many shingles also take these further sets as pivots, so that groups of near copies meet early.
 MORE_PIVOTS, MORE_EVERY = 3, 16
+#: Regions in which more pairs than this are open take further pivots, so many in each round.
+CROWD, ROUND_PIVOTS = 1 << 12, 4
+BINS = 128
 _WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 _U = np.uint64
 
@@ -77,26 +84,38 @@ def _runs(batches, column: int):
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT commonest shingles, sorted, and their counts, over all texts.
 
-    Each run counts its distinct sets and passes on what LOCAL_COUNT of them share; the sums order shingles, and no
-    result depends on them.
+    The sums order shingles, so that passages many sets share come last; no result depends on them.
     """
+    def counted(parts):
+        h, times = np.unique(np.concatenate(parts), return_counts=True)
+        some = times >= LOCAL_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(times[some], pa.int64())], names=["s", "times"])
+
     def count(batches):
+        parts, size = [], 0
         for _, _, s in _runs(batches, 0):
             keep = np.zeros(len(s.sizes), bool)
             keep[s.distinct()] = True
-            h, times = np.unique(s.hashes[keep[s.owner]], return_counts=True)
-            some = times >= LOCAL_COUNT
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(times[some], pa.int64())], names=["s", "times"])
+            parts.append(s.hashes[keep[s.owner]])
+            size += len(parts[-1])
+            if size >= SPAN:
+                yield counted(parts)
+                parts, size = [], 0
+        if parts:
+            yield counted(parts)
 
     top = (texts.mapInArrow(count, "s bigint, times bigint").groupBy("s").agg(F.sum("times").alias("times"))
-           .orderBy(F.col("times").desc(), "s").limit(FREQUENT).collect())
-    s = np.array([r.s for r in top], np.int64).view(np.uint64)
+           .orderBy(F.col("times").desc(), "s").limit(FREQUENT).toArrow())
+    s, times = np.asarray(top.column(0), np.int64).view(np.uint64), np.asarray(top.column(1), np.int64)
     order = np.argsort(s)
-    return s[order], np.array([r.times for r in top], np.int64)[order]
+    return s[order], times[order]
 
 
 def _shared_cells(texts: DataFrame, percent: int) -> DataFrame:
-    """(pivot, member, main) for the sets of every cell; main marks the first pivot of a cell."""
+    """(p, c, n_p, n_c, main): pivot and member of every cell and their sizes; main marks the first pivot of a cell.
+
+    Pairs whose sizes rule a link out are kept only as a region's members.
+    """
     spark = texts.sparkSession
     marks = spark.sparkContext.broadcast(frequent_shingles(texts))
 
@@ -115,71 +134,157 @@ def _shared_cells(texts: DataFrame, percent: int) -> DataFrame:
             n = s.sizes[o]
             chosen = order[position < n + 1 + (-percent * n) // 100]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[chosen].view(np.int64)), pa.array(s.keys[o[chosen]]), pa.array(is_common[chosen])], names=["s", "c", "common"])
+                [pa.array(h[chosen].view(np.int64)), pa.array(s.keys[o[chosen]]), pa.array(s.sizes[o[chosen]].astype(np.int32)),
+                 pa.array(is_common[chosen])], names=["s", "c", "n", "common"])
 
     def cells(batches):
         """Rows come sorted by shingle and set; a cell may run over batches."""
-        carry_s, carry = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        buffer = []
+        carry, buffer, pairs = np.zeros((3, 0), np.int64), [], np.zeros((5, 0), np.int64)
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["p", "c", "n_p", "n_c", "main"])
+
         for batch in batches:
-            buffer.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
-            if sum(len(x) for x, _ in buffer) >= 1 << 18:
-                got, carry_s, carry = meet(buffer, carry_s, carry)
-                buffer = []
-                yield got
+            buffer.append(np.stack([np.asarray(x, np.int64) for x in batch.columns]))
+            if sum(x.shape[1] for x in buffer) >= 1 << 18:
+                new, carry = meet(buffer, carry)
+                buffer, pairs = [], np.unique(np.concatenate([pairs, new], 1), axis=1)
+                if pairs.shape[1] >= 1 << 19:
+                    yield table()
+                    pairs = np.zeros((5, 0), np.int64)
         if buffer:
-            yield meet(buffer, carry_s, carry)[0]
+            pairs = np.unique(np.concatenate([pairs, meet(buffer, carry)[0]], 1), axis=1)
+        yield table()
 
-    def meet(buffer, carry_s, carry):
+    def meet(buffer, carry):
         """carry: the cell that was open, as its first pivots."""
-        s = np.concatenate([carry_s, *(x for x, _ in buffer)])
-        c = np.concatenate([carry, *(x for _, x in buffer)])
+        s, c, n = np.concatenate([carry, *buffer], 1)
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, c = s[new], c[new]
+        s, c, n = s[new], c[new], n[new]
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         cell = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
         at = np.arange(len(s)) - head[cell]
         pairs = []
         for k in range(1 + MORE_PIVOTS):
-            some = at > k if k == 0 else (at > k) & (s % MORE_EVERY == 0)
-            pairs.append(np.stack([c[head[cell[some]] + k], c[some], np.full(some.sum(), int(k == 0))]))
-        pairs = np.unique(np.concatenate(pairs, 1), axis=1)
-        last = head[-1]
-        return (pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2])], names=["p", "c", "main"]),
-                s[last:last + 1 + MORE_PIVOTS], c[last:last + 1 + MORE_PIVOTS])
-
-    kind = "p bigint, c bigint, main bigint"
-    entries = texts.mapInArrow(rare, "s bigint, c bigint, common boolean")
-    usual = entries.filter("not common").select("s", "c").repartition("s").sortWithinPartitions("s", "c").mapInArrow(cells, kind)
+            some = np.flatnonzero(at > k if k == 0 else (at > k) & (s % MORE_EVERY == 0))
+            pivot = head[cell[some]] + k
+            if k:
+                fits = np.maximum(n[pivot], n[some]) * percent <= np.minimum(n[pivot], n[some]) * 100
+                pivot, some = pivot[fits], some[fits]
+            pairs.append(np.stack([c[pivot], c[some], n[pivot], n[some], np.full(len(some), int(k == 0))]))
+        last = slice(head[-1], head[-1] + 1 + MORE_PIVOTS)
+        return np.unique(np.concatenate(pairs, 1), axis=1), np.stack([s[last], c[last], n[last]])
+
+    kind = "p bigint, c bigint, n_p bigint, n_c bigint, main bigint"
+    entries = texts.mapInArrow(rare, "s bigint, c bigint, n int, common boolean")
+    usual = entries.filter("not common").select("s", "c", "n").repartition("s").sortWithinPartitions("s", "c").mapInArrow(cells, kind)
     # cells of common shingles may hold a large share of all sets: their pivots are found by partial minima
-    crowd = stored(entries.filter("common").select("s", "c"), "common-shingles")
-    heads = crowd.groupBy("s").agg(F.min("c").alias("p"))  # FREQUENT rows at most
-    crowded = crowd.join(F.broadcast(heads), "s").filter("c <> p").select("p", "c", F.lit(1).cast("bigint").alias("main"))
-    return usual.unionByName(crowded).groupBy("p", "c").agg(F.max("main").alias("main"))
+    crowd = stored(entries.filter("common").select("s", "c", F.col("n").cast("bigint").alias("n")), "common-shingles")
+    heads = crowd.groupBy("s").agg(F.min(F.struct(F.col("c").alias("p"), F.col("n").alias("n_p"))).alias("head"))  # FREQUENT rows at most
+    crowded = (crowd.join(F.broadcast(heads.select("s", "head.*")), "s").filter("c <> p")
+               .select("p", "c", "n_p", F.col("n").alias("n_c"), F.lit(1).cast("bigint").alias("main")))
+    return usual.unionByName(crowded).groupBy("p", "c").agg(*[F.max(k).alias(k) for k in ("n_p", "n_c", "main")])
+
+
+def _set_table(texts: DataFrame, needed: DataFrame) -> str:
+    """The texts of needed sets, one each, as a table in buckets by set: joins with it move only the other side."""
+    def packed(batches):
+        for _, t, s in _runs(batches, 0):
+            some = s.distinct()
+            data = [zstandard.compress(x.encode(), 3) for x in t.take(pa.array(some)).to_pylist()]
+            bins = np.bincount(s.owner * BINS + (s.hashes >> _U(57)).astype(np.int64), minlength=len(s.sizes) * BINS).reshape(-1, BINS)
+            marks = [row.tobytes() for row in np.minimum(bins[some], 255).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array(s.keys[some]), pa.array(marks, pa.binary()), pa.array(data, pa.binary())],
+                                             names=["c", "mark", "text"])
+
+    spark = texts.sparkSession
+    table, buckets = f"sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (texts.mapInArrow(packed, "c bigint, mark binary, text binary").repartition(buckets, "c").join(needed, "c", "left_semi")
+     .groupBy("c").agg(F.first("mark").alias("mark"), F.first("text").alias("text"))
+     .write.bucketBy(buckets, "c").option("path", scratch_path(spark, table)).saveAsTable(table))
+    return table
+
+
+def _open_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of pairs (a, b, n_a, n_b, mark_a, mark_b) whose signatures allow a link."""
+    def keep(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
+            apart = np.abs(one - two).sum(1, dtype=np.int64)
+            yield batch.filter(pa.array(apart * (100 + percent) <= n * (100 - percent))).select(["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(keep, "a bigint, b bigint").distinct()
+
+
+def _open_in_regions(region: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components in one region that sizes, distances to the pivot and signatures leave open.
+
+    Members outside the pivot's component meet all members in pairs of blocks of bounded size; only open pairs become
+    rows.
+    """
+    sizes = region.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("root") != F.col("home")).cast("long")).alias("out"))
+    member = F.struct("c", "n", "d", "root", "mark")
+    known = region.join(sizes.filter("out > 0 and m > 1"), "p")
+    side = (lambda rows, size, block: rows.withColumn("block", F.pmod(F.xxhash64("c"), F.ceil(F.col(size) / block)))
+            .groupBy("p", "block").agg(F.collect_list(member).alias("x")))
+    apart, every = side(known.filter("root <> home"), "out", 1 << 10), side(known, "m", 1 << 12)
+
+    def columns(cell):
+        flat = cell.values
+        c, n, root = (np.asarray(flat.field(k), np.int64) for k in ("c", "n", "root"))
+        d = np.asarray(flat.field("d").to_numpy(zero_copy_only=False), np.float64)  # unknown: NaN
+        return c, n, d, root, np.frombuffer(b"".join(flat.field("mark").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+    def keep(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (c, n, d, root, mark), (oc, on, od, oroot, omark) = columns(batch.column(0)[k]), columns(batch.column(1)[k])
+                pairs = []
+                for i in range(len(c)):
+                    fits = ((oroot != root[i]) & (np.maximum(on, n[i]) * percent <= np.minimum(on, n[i]) * 100)
+                            & ~(np.abs(od - d[i]) > 1 - percent / 100 + 1e-9))
+                    at = np.flatnonzero(fits)
+                    at = at[np.abs(omark[at] - mark[i]).sum(1, dtype=np.int64) * (100 + percent) <= (on[at] + n[i]) * (100 - percent)]
+                    pairs.append(np.stack([np.minimum(oc[at], c[i]), np.maximum(oc[at], c[i])]))
+                pairs = np.unique(np.concatenate(pairs, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return (apart.select("p", "x").join(every.select("p", F.col("x").alias("y")), "p").select("x", "y")
+            .mapInArrow(keep, "a bigint, b bigint").distinct())
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the sizes of both sets and of what they share."""
+    """pairs (a, b) with the sizes of both sets and of what they share."""
     keep = pairs.columns
-    left, right = sets.toDF("a", "text_a"), sets.toDF("b", "text_b")
+    left, right = sets.select(F.col("c").alias("a"), F.col("text").alias("text_a")), sets.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
 
     def compare(batches):
         last, mine = None, None
         for batch in batches:
-            rest, one, two = batch.columns[:-2], batch.column(len(keep)), batch.column(len(keep) + 1)
-            a_keys = batch.column(keep.index("a")).to_pylist()
-            other = Sets(pa.array([zstandard.decompress(x) for x in two.to_pylist()], pa.binary()))
-            sizes, shared = [], []
-            for k, a in enumerate(a_keys):
-                if a != last or mine is None:
-                    last, mine = a, Sets(pa.array([zstandard.decompress(one[k].as_py())], pa.binary())).hashes
-                theirs = other.hashes[other.bounds[k]:other.bounds[k + 1]]
-                place = np.searchsorted(mine, theirs)
-                shared.append(int((mine[np.minimum(place, len(mine) - 1)] == theirs).sum()))
-                sizes.append(len(mine))
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(other.sizes, pa.int64()), pa.array(shared, pa.int64())],
-                                             names=[*keep, "n_a", "n_b", "shared"])
+            a_keys, one, two = batch.column(keep.index("a")).to_pylist(), batch.column(len(keep)), batch.column(len(keep) + 1)
+            start = 0
+            while start < len(a_keys):
+                texts, size = [], 0
+                while start + len(texts) < len(a_keys) and size < RUN_BYTES // 2:
+                    texts.append(zstandard.decompress(two[start + len(texts)].as_py()))
+                    size += len(texts[-1])
+                other = Sets(pa.array(texts, pa.binary()))
+                sizes, shared = [], []
+                for k, a in enumerate(a_keys[start:start + len(texts)]):
+                    if a != last or mine is None:
+                        last, mine = a, Sets(pa.array([zstandard.decompress(one[start + k].as_py())], pa.binary())).hashes
+                    theirs = other.hashes[other.bounds[k]:other.bounds[k + 1]]
+                    place = np.searchsorted(mine, theirs)
+                    shared.append(int((mine[np.minimum(place, len(mine) - 1)] == theirs).sum()))
+                    sizes.append(len(mine))
+                rest = batch.slice(start, len(texts)).columns[:-2]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(other.sizes, pa.int64()), pa.array(shared, pa.int64())],
+                                                 names=[*keep, "n_a", "n_b", "shared"])
+                start += len(texts)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return (pairs.join(right, "b").join(left, "a").select(*keep, "text_a", "text_b")
@@ -234,34 +339,52 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
         for part, _, s in _runs(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.sizes, pa.int64()), pa.array(s.keys)], names=["id", "n_shingles", "set_key"])
 
-    def packed(batches):
-        for _, t, s in _runs(batches, 0):
-            some = s.distinct()
-            data = [zstandard.compress(x.encode(), 3) for x in t.take(pa.array(some)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(s.keys[some]), pa.array(data, pa.binary())], names=["c", "text"])
-
     cells = stored(_shared_cells(texts, percent), "cells")
     needed = cells.select("p").union(cells.select("c")).distinct().withColumnRenamed("p", "c")
-    sets = stored(texts.mapInArrow(packed, "c bigint, text binary").join(needed, "c", "left_semi")
-                  .groupBy("c").agg(F.first("text").alias("text")), "sets")
-    near = stored(_distances(cells.select(F.col("p").alias("a"), F.col("c").alias("b"), "main"), sets), "pivots")
-    links = near.filter(_linked(percent)).select("a", "b", "n_a", "n_b", "shared")
-    label = components(links)
+    sets = docs.sparkSession.table(_set_table(texts, needed))
+    marks = sets.select("c", "mark")
+    fits = (lambda m, n: F.greatest(m, n) * percent <= F.least(m, n) * 100)
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, n_a, n_b) that may link, with what they share."""
+        marked = (pairs.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b"))
+        return stored(_distances(_open_pairs(marked, percent), sets), name)
 
-    # members of a region with their distance to its pivot and their component so far
+    near = compared(cells.filter(fits(F.col("n_p"), F.col("n_c"))).select(
+        F.col("p").alias("a"), F.col("c").alias("b"), F.col("n_p").alias("n_a"), F.col("n_c").alias("n_b")), "pivots")
+    found = ("a", "b", "n_a", "n_b", "shared")
+    links = near.filter(_linked(percent)).select(*found)
+
+    # members of a region with their distance to its pivot, where it isn't known to be beyond the radius
     distance = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    region = (near.filter("main = 1").select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("n_b").alias("n"), distance.alias("d"))
-              .join(label.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-              .join(label.toDF("p", "home"), "p", "left").withColumn("home", F.coalesce("home", "p")))
-    region = stored(region, "regions")
-    apart, other = region.filter("root <> home").alias("x"), region.alias("y")
-    x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
-    radius = 1 - percent / 100 + 1e-9
-    close = (apart.join(other, (x("p") == y("p")) & (x("root") != y("root")) & (F.abs(x("d") - y("d")) <= radius)
-                        & (F.greatest(x("n"), y("n")) * percent <= F.least(x("n"), y("n")) * 100))
-             .select(F.least(x("c"), y("c")).alias("a"), F.greatest(x("c"), y("c")).alias("b")).distinct())
-    more = stored(_distances(close, sets).filter(_linked(percent)), "links")
-    links = links.unionByName(more)
+    members = stored(cells.filter("main = 1").select("p", "c", F.col("n_c").alias("n"))
+                     .join(near.select(F.col("a").alias("p"), F.col("b").alias("c"), distance.alias("d")), ["p", "c"], "left")
+                     .join(marks, "c"), "members")
+    rounds, before = 0, None
+    while True:
+        label = components(links)
+        region = stored(members.join(label.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+                        .join(label.toDF("p", "home"), "p", "left").withColumn("home", F.coalesce("home", "p")), "regions")
+        crowds = (region.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("root") != F.col("home")).cast("long")).alias("out"))
+                  .filter(F.col("m") * F.col("out") > CROWD))
+        open_ = crowds.agg(F.coalesce(F.sum(F.col("m") * F.col("out")), F.lit(0))).first()[0]
+        if not open_ or (before is not None and open_ > 0.8 * before):
+            break
+        # the members nearest to the pivot are nearer to the middle of the group: further pivots for those outside
+        nth = F.row_number().over(Window.partitionBy("p").orderBy("d", "c"))
+        chosen = (region.filter("d is not null").join(crowds.select("p"), "p", "left_semi").select("p", "c", "n", "d")
+                  .withColumn("nth", nth).filter(F.col("nth") <= (rounds + 1) * ROUND_PIVOTS).filter(F.col("nth") > rounds * ROUND_PIVOTS)
+                  .select("p", F.col("c").alias("a"), F.col("n").alias("n_a")))
+        outside = region.filter("root <> home").select("p", F.col("c").alias("b"), F.col("n").alias("n_b"))
+        pairs = (outside.join(chosen, "p").filter((F.col("a") != F.col("b")) & fits(F.col("n_a"), F.col("n_b")))
+                 .select("a", "b", "n_a", "n_b").distinct())
+        more = compared(pairs, "more-pivots").filter(_linked(percent)).select(*found)
+        if more.isEmpty():
+            break
+        links, rounds, before = links.unionByName(more), rounds + 1, open_
+
+    last = stored(_distances(_open_in_regions(region, percent), sets).filter(_linked(percent)).select(*found), "last-links")
+    links = links.unionByName(last)
     label = components(links)
 
     keys = stored(rows.mapInArrow(keyed, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key bigint"), "set-keys")

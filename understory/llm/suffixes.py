@@ -157,19 +157,27 @@ class Shard:
     def covered_here(self) -> np.ndarray:
         """Positions whose string starts in a document of this shard with a smaller id, by the suffix array."""
         out = np.zeros(len(self.valid), bool)
-        if not len(out):
+        # a string that occurs twice has an anchor that does: the bytes under such strings, laid one after another
+        _, place, times = np.unique(self.gram, return_inverse=True, return_counts=True)
+        at = self.strings(np.flatnonzero(times[place] > 1))
+        if not len(at):
             return out
-        order, rank = suffix_array(self.data, self.length)
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        edge[at] += 1
+        edge[at + self.length] -= 1
+        origin = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        part, starts_string = self.data[origin], np.zeros(len(origin), bool)
+        starts_string[np.searchsorted(origin, at)] = True
+        order, rank = suffix_array(part, self.length)
         # only positions with equals matter, and they stand together
         order = order[np.bincount(rank, minlength=len(rank))[rank[order]] > 1]
-        order = order[order < len(out)]
-        order = order[self.valid[order]]
-        starts = common_prefixes(self.data, order, self.length) < self.length
+        order = order[starts_string[order]]
+        starts = common_prefixes(part, order, self.length) < self.length
         if len(order):
             starts[0] = True
-            ids = self.ids[self.owner[order]]
+            ids = self.ids[self.owner[origin[order]]]
             least = np.minimum.reduceat(ids, np.flatnonzero(starts))[np.cumsum(starts) - 1]
-            out[order] = least < ids
+            out[origin[order]] = least < ids
         return out
 
 
