@@ -17,8 +17,9 @@ def test_csv_missing_values_and_line_ends(spark, tmp_path):
                            T.StructField("Cover", T.DoubleType())])
     rows = {r.siteid: (r.date1, r.cover) for r in scan_csv(spark, str(tmp_path), schema).collect()}
     assert rows == {"BONA": ("2017-08", None), "CLBJ": (None, 12.5), "X": (None, 1.0)}
-    text = scan_csv_text(spark, str(tmp_path), ["site", "date1", "cover"])
-    assert {t for _, t in text.dtypes} == {"string"}
+    text = scan_csv_text(spark, str(tmp_path), ["Cover", "siteID"])  # by header name, not by place
+    assert text.dtypes == [("cover", "string"), ("siteid", "string")]
+    assert {r.siteid: r.cover for r in text.collect()} == {"BONA": "NaN", "CLBJ": "12.5", "X": "1"}
 
 
 def test_csv_sink_writes_na(spark):
