@@ -48,6 +48,8 @@ def text_runs(column: pa.Array | pa.ChunkedArray, max_bytes: int = RUN_BYTES) ->
         end = min(n, max(end, start + 1))
         yield start, end, column.slice(start, end - start)
         start = end
+    # workers live on between tasks: what Arrow has freed goes back, so that it doesn't add up over stages
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from understory.llm.text import text_runs
 
 #: A store of more pieces than this is started afresh; it bounds a worker's memory only.
-MAX_PIECES = 600_000
+MAX_PIECES = 250_000
 #: Longer pieces are encoded anew each time.
 MAX_STORED_CHARS = 48
 
