@@ -22,7 +22,6 @@ from understory.plans.registry import query
 
 FEATURES = PREDICTORS
 _FITTED: dict[tuple, CrossValidation] = {}
-TREES, DEPTH = 10, 6
 
 
 def forest_table(i: Inputs) -> DataFrame:
@@ -32,14 +31,10 @@ def forest_table(i: Inputs) -> DataFrame:
 
 
 def shared_cv(i: Inputs) -> CrossValidation:
-    """Ten grouped folds by three responses, fitted once per session and data folder.
-
-    Few and shallow trees, as these are 30 forests on the test tables; the
-    operator's defaults are the study's.
-    """
+    """Ten grouped folds by three responses, fitted as in the study, once per session and data folder."""
     key = (i.spark.sparkContext.applicationId, i.sf_dir)
     if key not in _FITTED:
-        _FITTED[key] = run_cv(forest_table(i), specs_for(FEATURES), v=10, trees=TREES, max_depth=DEPTH, seed=11)
+        _FITTED[key] = run_cv(forest_table(i), specs_for(FEATURES), seed=11)
     return _FITTED[key]
 
 
@@ -67,7 +62,7 @@ def ml3(i: Inputs) -> DataFrame:
 def ml4(i: Inputs) -> DataFrame:
     spec = ModelSpec("pi", "i_cat", "class", FEATURES)
     d = assemble(forest_table(i), FEATURES)
-    model = fit_forest(d, spec, trees=TREES, max_depth=DEPTH, seed=3)
+    model = fit_forest(d, spec, seed=3)
     p = vector_to_array("probability")
     return model.transform(d).select("plot_id", "year", "i_cat", F.col("prediction").alias("pred_class"),
                                      round_to(p[0], 6).alias("p_not_invaded"))
@@ -77,7 +72,7 @@ def ml4(i: Inputs) -> DataFrame:
 def ml5(i: Inputs) -> DataFrame:
     spec = ModelSpec("ir", "rer", "reg", FEATURES)
     d = assemble(forest_table(i), FEATURES)
-    model = fit_forest(d, spec, trees=TREES, max_depth=DEPTH, seed=3)
+    model = fit_forest(d, spec, seed=3)
     return model.transform(d).select("plot_id", "year", "rer", round_to(F.col("prediction"), 6).alias("pred"))
 
 
@@ -115,7 +110,7 @@ def ml10(i: Inputs) -> DataFrame:
 
 @query("ml11_within_site_cross_validation")
 def ml11(i: Inputs) -> DataFrame:
-    return rounded(site_metrics(run_cv_by_site(forest_table(i), specs_for(FEATURES), v=2, trees=5, max_depth=4, seed=5)), 6, "est")
+    return rounded(site_metrics(run_cv_by_site(forest_table(i), specs_for(FEATURES), seed=5)), 6, "est")
 
 
 @query("ml12_permutation_importance")
