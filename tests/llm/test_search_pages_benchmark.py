@@ -35,6 +35,14 @@ def test_top_k_as_brute_force(spark, monkeypatch):
         assert sorted(hits) == [(n, k, -s) for n, (s, k) in enumerate(want, 1)]
 
 
+def test_partitions_of_any_size_are_searched(spark, monkeypatch):
+    monkeypatch.setattr("understory.llm.bitsliced.BLOCK_ROWS", 64)
+    df = spark.range(500).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), 1F) AS embedding")
+    monkeypatch.setattr(type(df), "repartition", lambda self, n: self.coalesce(1))  # all rows in one partition
+    got = top_k(df, F.col("vec_id") == 100, k=3, scale=1).orderBy("rank").collect()
+    assert [(r["rank"], r.id, r.score) for r in got] == [(1, 499, 49901), (2, 498, 49801), (3, 497, 49701)]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0], 1, "x"), (7, [2.0], 1, "x"), (8, [-3.0], 1, "x")], VECTORS)
     got = sorted((r["rank"], r.id, r.score) for r in top_k(df, F.col("vec_id") % 100 == 0).collect())
@@ -63,6 +71,21 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<html><body>{PARAGRAPH}<br><br>And <b>more</b>, in the end.</body></html>", f"{PARAGRAPH.strip()} And more, in the end."),
+    ("Plain text, no tags.", "Plain text, no tags."),
+    ("<body><a href='/'>Home</a> <a href='/n'>News</a></body>", ""),
+    (f"<article><p>{PARAGRAPH}</p></article><article><h2>Two</h2><p>Short, but of the story.</p></article><article class='related'><p>{PARAGRAPH}</p></article>"
+     f"<article class='comment'><p>{PARAGRAPH}</p></article>", f"{PARAGRAPH.strip()}\nTwo\nShort, but of the story."),
+    (f"<main><article><p>{PARAGRAPH}</p></article></main><p>{PARAGRAPH}</p><p>Short.</p><aside>{PARAGRAPH}</aside>", f"{PARAGRAPH.strip()}\n{PARAGRAPH.strip()}"),
+    (f"<article><p>{PARAGRAPH}</p></article>Then, <i>bare</i> text: {PARAGRAPH}<div class='sidebar'>{PARAGRAPH}</div><a href='/'>{PARAGRAPH}</a>",
+     f"{PARAGRAPH.strip()}\nThen, bare text: {PARAGRAPH.strip()}"),
+    (f"<div class='content'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><b>Beside</b> it: {PARAGRAPH}", f"{PARAGRAPH.strip()}\n{PARAGRAPH.strip()}\nBeside it: {PARAGRAPH.strip()}"),
+])
+def test_main_text_beside_the_best_container(page, want):
+    assert main_text(page) == want
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20000 + "<p>" + PARAGRAPH + "</p>") == PARAGRAPH.strip()
     long = "".join(f"<p>Paragraph {k}, with text.</p>" for k in range(20000))

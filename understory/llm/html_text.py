@@ -128,8 +128,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             off |= node is None
         elif tag not in ("article", "main") or names & {"comment", "comments", "reply"}:
-            marks = names & ASIDE
-            off |= bool(marks) and not names & ABOUT and not (marks <= PART and names & CONTENT)
+            off |= _is_aside(names)
         child = Node(tag, top, top.dropped or off, names)
         top.items.append(child)
         if tag in RAW:
@@ -202,19 +201,61 @@ def _density(node: Node) -> float:
     return node.link_chars / node.chars if node.chars else 0.0
 
 
+def _score(node: Node) -> float:
+    """Points of a container and of its name, discounted by its links."""
+    return (node.points + {"article": 25, "main": 15}.get(node.tag, 0) + 10 * bool(node.names & (CONTENT | {"main", "body"}))) * (1 - _density(node))
+
+
+def _is_aside(names: frozenset) -> bool:
+    """Whether words of class and id mark an element as no main text."""
+    marks = names & ASIDE
+    return bool(marks) and not names & ABOUT and not (marks <= PART and bool(names & CONTENT))
+
+
+def _pieces(items: list) -> list[Node]:
+    """The kept blocks of items in page order; text and inline elements between two blocks are one paragraph."""
+    out, run = [], []
+
+    def end() -> None:
+        if run:
+            piece = Node("p", None, False)
+            piece.items = list(run)
+            for x in run:
+                piece.chars += len(x.strip()) if isinstance(x, str) else x.chars
+                piece.link_chars += 0 if isinstance(x, str) else x.link_chars
+            if piece.chars:
+                out.append(piece)
+            run.clear()
+
+    for x in items:
+        if isinstance(x, str) or x.tag == "br" or x.tag in INLINE:
+            if isinstance(x, str) or not x.dropped:
+                run.append(x)
+        else:
+            end()
+            if not x.dropped:
+                out.append(x)
+    end()
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the best container and of its good siblings, one line each."""
     if not page:
         return ""
     order = _gather(parse(page))
     for node in order:
-        if node.tag in INLINE or node.tag == "html":
+        if node.tag in INLINE:
             continue
         # a paragraph is a block with text of its own: its inline content, not that of blocks inside
         own = "".join(x if isinstance(x, str) else _inline_text(x) if x.tag in INLINE and not x.dropped else "" for x in node.items).strip()
         if not own:
             continue
-        points = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - _density(node))
+        density = _density(node)
+        if node.tag == "html":  # of the page's own text, as all other text is below it
+            links = sum(x.link_chars for x in node.items if not isinstance(x, str) and x.tag in INLINE and not x.dropped)
+            density = min(links / len(own), 1.0)
+        points = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - density)
         holder, share = (node.parent if node.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption")
                          else node), 1.0
         depth = 0
@@ -227,19 +268,23 @@ def main_text(page: str | None) -> str:
     best, top = None, 0.0
     for node in order:
         if node.points > 0 and node.tag not in INLINE:
-            score = (node.points + {"article": 25, "main": 15}.get(node.tag, 0) + 10 * bool(node.names & (CONTENT | {"main", "body"}))) * (1 - _density(node))
+            score = _score(node)
             if score > top:
                 best, top = node, score
     if best is None:
         return ""
+    # siblings have no points for a name; an article is held against them by its text alone
+    least = max(10.0, 0.2 * (best.points * (1 - _density(best)) if best.tag in ("article", "main") else top))
+    while best.parent is not None and best.parent.tag not in INLINE and _pieces(best.parent.items) == [best]:
+        best = best.parent  # a mere wrapper: its siblings are the siblings
     out = []
-    least = max(10.0, 0.2 * top)
-    for x in (best.parent.items if best.parent is not None and best.tag not in ("article", "main") else [best]):
+    for x in _pieces(best.parent.items) if best.parent is not None else [best]:
         if x is best:
             out += blocks(best)
-        elif not isinstance(x, str) and not x.dropped and x.tag not in INLINE:
+        elif not _is_aside(x.names):
             long = x.tag == "p" and x.chars > 80 and _density(x) < 0.25
-            if x.points * (1 - _density(x)) >= least or long:
+            also = x.tag in ("article", "main") and x.points > 0 and _score(x) >= 0.2 * top
+            if x.points * (1 - _density(x)) >= least or long or also:
                 out += blocks(x)
     return "\n".join(out)
 
