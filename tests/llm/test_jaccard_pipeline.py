@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from understory.llm import jaccard
-from understory.llm.jaccard import components, jaccard_components
+from understory.llm.jaccard import components, jaccard_components, link_counts
 
 SCHEMA = "doc_id bigint, text string, component_id int, c string, root int"
 
@@ -76,6 +76,37 @@ def test_components_as_brute_force(spark, monkeypatch, seed, percent, frequent,
     assert all(100 * r.shared >= percent * (r.n_a + r.n_b - r.shared) for r in links.collect())
 
 
+@pytest.mark.parametrize(("seed", "percent", "frequent", "runs"), [(4, 75, 1 << 16, 4 << 20), (5, 60, 0, 500)])
+def test_complete_links_as_brute_force(spark, monkeypatch, seed, percent, frequent, runs):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(seed)
+    base = [f"v{k}" for k in range(60)]
+    texts = corpus(seed, 80)
+    for _ in range(40):  # a group of different near copies
+        text = list(base)
+        text[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    docs = list(enumerate(texts)) + [(1000 + k, t) for k, t in enumerate(texts[70:90])] + [(2000, None), (2001, "")]
+    sets = {d: frozenset(shingles(t)) for d, t in docs}
+    want = {d: 0 for d in sets}
+    pairs = set()
+    for d, one in sets.items():
+        for e, two in sets.items():
+            if d < e and one and two and 100 * len(one & two) >= percent * len(one | two):
+                want[d], want[e] = want[d] + 1, want[e] + 1
+                if one != two:
+                    pairs.add(frozenset([one, two]))
+    df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in docs], SCHEMA).repartition(3)
+    membership, links = jaccard_components(df, percent, complete=True)
+    got = link_counts(membership, links).collect()
+    assert {r.id: r.n_links for r in got} == want and len(got) == len(docs)
+    assert sorted([(r.id, r.n_shingles, r.component_id) for r in got], key=repr) == brute(docs, percent)
+    of_key = {r.set_key: sets[r.id] for r in got}
+    listed = links.collect()
+    assert {frozenset([of_key[r.a], of_key[r.b]]) for r in listed} == pairs and len(listed) == len(pairs)
+    assert all((r.n_a, r.n_b, r.shared) == (len(of_key[r.a]), len(of_key[r.b]), len(of_key[r.a] & of_key[r.b])) for r in listed)
+
+
 def test_odd_ids_and_empty_table(spark):
     docs = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "x"), (7, "a b c d e f"), (None, "alone here"), (None, None)]
     assert found(spark, docs)[0] == brute(docs, 75)

@@ -220,18 +220,19 @@ def _open_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(keep, "a bigint, b bigint").distinct()
 
 
-def _open_in_regions(region: DataFrame, percent: int) -> DataFrame:
+def _open_in_regions(region: DataFrame, percent: int, complete: bool = False) -> DataFrame:
     """Distinct (a, b) of different components in one region that sizes, distances to the pivot and signatures leave open.
 
     Members outside the pivot's component meet all members in pairs of blocks of bounded size; only open pairs become
-    rows.
+    rows. With complete, pairs of one component are taken as well, and all members meet all.
     """
     sizes = region.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("root") != F.col("home")).cast("long")).alias("out"))
     member = F.struct("c", "n", "d", "root", "mark")
-    known = region.join(sizes.filter("out > 0 and m > 1"), "p")
+    known = region.join(sizes.filter("m > 1" if complete else "out > 0 and m > 1"), "p")
     side = (lambda rows, size, block: rows.withColumn("block", F.pmod(F.xxhash64("c"), F.ceil(F.col(size) / block)))
             .groupBy("p", "block").agg(F.collect_list(member).alias("x")))
-    apart, every = side(known.filter("root <> home"), "out", 1 << 10), side(known, "m", 1 << 12)
+    apart = side(known, "m", 1 << 10) if complete else side(known.filter("root <> home"), "out", 1 << 10)
+    every = side(known, "m", 1 << 12)
 
     def columns(cell):
         flat = cell.values
@@ -245,7 +246,7 @@ def _open_in_regions(region: DataFrame, percent: int) -> DataFrame:
                 (c, n, d, root, mark), (oc, on, od, oroot, omark) = columns(batch.column(0)[k]), columns(batch.column(1)[k])
                 pairs = []
                 for i in range(len(c)):
-                    fits = ((oroot != root[i]) & (np.maximum(on, n[i]) * percent <= np.minimum(on, n[i]) * 100)
+                    fits = ((oc > c[i] if complete else oroot != root[i]) & (np.maximum(on, n[i]) * percent <= np.minimum(on, n[i]) * 100)
                             & ~(np.abs(od - d[i]) > 1 - percent / 100 + 1e-9))
                     at = np.flatnonzero(fits)
                     at = at[np.abs(omark[at] - mark[i]).sum(1, dtype=np.int64) * (100 + percent) <= (on[at] + n[i]) * (100 - percent)]
@@ -316,13 +317,15 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
+                       complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """(membership, links).
 
     membership: one row per input row: id, n_shingles, set_key, component_id (the smallest id reachable by links, its
     own included). links: (a, b, n_a, n_b, shared) of set keys, links that were found; equal texts have one key, and
     pairs whose sets were already joined by other links are not compared, so the components are complete and the list of
-    links is not every pair of a group.
+    links is not every pair of a group. With complete, links holds every pair of different sets that link, once and with
+    a < b; it grows with the links there are.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased; a set holds the distinct runs of
     SHINGLE words, or the whole sequence where there are fewer. Two sets link when shared * 100 >= percent * union. NULL
@@ -362,13 +365,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
                      .join(marks, "c"), "members")
     rounds, before = 0, None
     while True:
-        label = components(links)
+        # without labels every set is a component of its own: all pairs of a region are open
+        label = components(links.limit(0) if complete else links)
         region = stored(members.join(label.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
                         .join(label.toDF("p", "home"), "p", "left").withColumn("home", F.coalesce("home", "p")), "regions")
         crowds = (region.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("root") != F.col("home")).cast("long")).alias("out"))
                   .filter(F.col("m") * F.col("out") > CROWD))
         open_ = crowds.agg(F.coalesce(F.sum(F.col("m") * F.col("out")), F.lit(0))).first()[0]
-        if not open_ or (before is not None and open_ > 0.8 * before):
+        if complete or not open_ or (before is not None and open_ > 0.8 * before):
             break
         # the members nearest to the pivot are nearer to the middle of the group: further pivots for those outside
         nth = F.row_number().over(Window.partitionBy("p").orderBy("d", "c"))
@@ -383,8 +387,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
             break
         links, rounds, before = links.unionByName(more), rounds + 1, open_
 
-    last = stored(_distances(_open_in_regions(region, percent), sets).filter(_linked(percent)).select(*found), "last-links")
+    last = stored(_distances(_open_in_regions(region, percent, complete), sets).filter(_linked(percent)).select(*found), "last-links")
     links = links.unionByName(last)
+    if complete:  # a pair may have met as pivot and member, in either order, and in a region
+        turned = F.col("a") > F.col("b")
+        links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
+                                    F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "shared").distinct(), "all-links")
     label = components(links)
 
     keys = stored(rows.mapInArrow(keyed, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key bigint"), "set-keys")
@@ -396,3 +404,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     membership = (keys.join(by_key, "set_key", "left")
                   .select("id", "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
     return membership, links
+
+
+def link_counts(membership: DataFrame, links: DataFrame) -> DataFrame:
+    """membership with n_links: how many other rows each row links to. links: as from complete.
+
+    Equal sets stay one key: a row links to the others of its key, and to all rows of the keys its key links to.
+    """
+    rows = stored(membership.filter("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("n_rows")), "rows-of-keys")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = (both.join(rows.select(F.col("set_key").alias("b"), "n_rows"), "b")
+           .groupBy(F.col("a").alias("set_key")).agg(F.sum("n_rows").alias("n_far")))
+    counts = stored(rows.join(far, "set_key", "left")
+                    .select("set_key", (F.col("n_rows") - 1 + F.coalesce("n_far", F.lit(0))).alias("n_links")), "link-counts")
+    full = F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("bigint")
+    return membership.join(counts, "set_key", "left").select(*membership.columns, full.alias("n_links"))

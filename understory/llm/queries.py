@@ -12,7 +12,7 @@ from understory.llm.bitsliced import top_k
 from understory.llm.chat import Costs, format_chats
 from understory.llm.decontaminate import benchmark_hits, contaminated
 from understory.llm.html_text import extract_text
-from understory.llm.jaccard import jaccard_components
+from understory.llm.jaccard import jaccard_components, link_counts
 from understory.llm.packing import Limits, pack
 from understory.llm.quality import FactorisationMachine, learn, score_quality
 from understory.llm.secrets import BASE_KINDS, scan_secrets, span_list
@@ -64,6 +64,17 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d JOIN (SELECT v, min(t) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+@_query
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_jaccard_join with every link: the number of other documents each document links to."""
+    counted = link_counts(*jaccard_components(_table(spark, sf_dir, "documents"), percent=75, complete=True))
+    return counted.select(F.col("id").alias("doc_id"), "n_shingles", "n_links", "component_id")
+
+
+LLM_ORACLES["op2_jaccard_links"] = LLM_ORACLES["op2_jaccard_join"].replace(
+    "c.component_id\n", "CAST((SELECT count(*) FROM e WHERE e.a = d.doc_id) AS BIGINT) AS n_links, c.component_id\n")
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no label may be learnt from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
