@@ -150,8 +150,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     def build(batches):
         part = TaskContext.get().partitionId()
-        for n, (ids, vecs) in enumerate(grouped(batches, 2 * BLOCK_ROWS)):
-            yield pa.RecordBatch.from_arrays([pa.array([part + n * blocks], pa.int64()), pa.array([pickle.dumps(BlockIndex(ids, vecs))], pa.binary())],
+        for ids, vecs in grouped(batches, 2 * BLOCK_ROWS):  # a large partition is a block of several indexes
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps(BlockIndex(ids, vecs))], pa.binary())],
                                              names=["block", "index"])
 
     def bundle(batches):
