@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from understory.llm.bitsliced import top_k
 from understory.llm.chat import Costs, format_chats
 from understory.llm.decontaminate import benchmark_hits, contaminated
+from understory.llm.filter_audit import audit_filters
 from understory.llm.html_text import extract_text
 from understory.llm.jaccard import jaccard_components, link_counts
 from understory.llm.packing import Limits, pack
@@ -18,6 +19,8 @@ from understory.llm.quality import FactorisationMachine, learn, score_quality
 from understory.llm.secrets import BASE_KINDS, scan_secrets, span_list
 from understory.llm.suffixes import repeated_strings
 from understory.llm.token_counts import token_counts
+from understory.llm.url_rules import judge_urls
+from understory.llm.zone_clusters import cluster_vectors
 from understory.session import scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +31,9 @@ TOKEN_LIMIT = 1024
 #: The closing id of a packed document.
 END_ID = 2
 PACK_LIMITS = Limits(tokens=4096, segments=1024, loss_tokens=4096)
+#: Host, path and verdict of the URL rules.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
 def _query(fn):
@@ -174,3 +180,83 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), PACK_LIMITS, END_ID)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@_query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules, default="allow").withColumnRenamed("id", "page_id")
+
+
+LLM_ORACLES["op11_url_filter"] = r"""
+WITH r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                 ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(rh, rp, v)),
+u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT n, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT n, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+f AS (SELECT n, rh || rp AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+      FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) b ON b.n = p.n"""
+
+
+@_query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256).withColumnRenamed("id", "vec_id")
+
+
+def _nearest_sql(n: int, columns: str) -> str:
+    """Nearest of the centroids c{n} for each vector."""
+    distance = "list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return (f"SELECT {columns} FROM (SELECT v.r, v.vec_id, v.v, c.k, CAST({distance} AS BIGINT) AS d FROM v, c{n} c) t "
+            "QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1")
+
+
+def _clusters_sql(k: int, rounds: int, dims: int, scale: int) -> str:
+    parts = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k, v AS c FROM v QUALIFY k < {k})"""]
+    for n in range(rounds):
+        parts.append(f"a{n} AS MATERIALIZED ({_nearest_sql(n, 'k, v')})")
+        parts.append(f"m{n} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(1, {dims} + 1)) AS i FROM a{n}) GROUP BY k, i)")
+        parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN
+    (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{n} GROUP BY k) m ON m.k = c.k)""")
+    parts.append(f"z AS MATERIALIZED ({_nearest_sql(rounds, 'vec_id, k, d')})")
+    return ",\n".join(parts) + f"""
+SELECT z.vec_id, CAST(z.k AS INTEGER) AS cluster, z.d AS distance, CAST(sum(z.d) OVER (PARTITION BY z.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(z.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} c ON c.k = z.k"""
+
+
+LLM_ORACLES["op12_centroid_clusters"] = _clusters_sql(40, 5, 64, 256)
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+LLM_ORACLES["op13_filter_audit"] = r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END,
+                    CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+                    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+                    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                    CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, o, step, f, n, good, toxic, fails, contains(fails, f) AS bad, earlier <> '' AND length(translate(earlier, fails, '')) < length(earlier) AS gone FROM n, s),
+a AS (SELECT part, o, step, f, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN bad AND gone THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN bad AND NOT gone THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN bad AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM g GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM a"""
