@@ -129,42 +129,3 @@ def test_logit_residuals_and_collinearity(nested):
     table = glm.coef_frame(nested.sparkSession, ["x"], [1.959963984540054], [1.0])
     w = glm.wald_tests(table).first()
     assert w.statistic == pytest.approx(3.841458820694124) and w.p_value == pytest.approx(0.05)
-
-
-def test_registered_forests_are_the_studys(spark, monkeypatch):
-    """No query cuts folds, trees or depth: every fit that the queries ask for is recorded instead of run."""
-    from understory.operators import forest as operator
-    from understory.plans.catalog import forests
-
-    rows = [(s, f"{s}{p}", y, float(p), float(y), p / 40, y / 10, p % 2) for s in "ab" for p in range(20) for y in range(2)]
-    table = spark.createDataFrame(rows, "site string, plot_id string, year int, x double, z double, rer double, rel_cover_exotic double, i_cat int")
-    asked = []
-
-    class Recorded:
-        def __init__(self, spec, estimator):
-            self.spec, self.estimator = spec, estimator
-
-        def fit(self, data):
-            asked.append((self.spec.name, self.estimator.getNumTrees(), self.estimator.getMaxDepth(), data.count()))
-            if not many:
-                raise KeyError("recorded")
-
-    make = operator.forest
-    monkeypatch.setattr(operator, "forest", lambda spec, *a, **b: Recorded(spec, make(spec, *a, **b)))
-    monkeypatch.setattr(forests, "forest_table", lambda i: table)
-    monkeypatch.setattr(forests, "FEATURES", ("x", "z"))
-    monkeypatch.setattr(forests, "_FITTED", {})
-    monkeypatch.setattr(forests, "site_metrics", lambda by_site: spark.createDataFrame([(s, 0.0) for s in by_site], "site string, est double"))
-    inputs = type("I", (), {"spark": spark, "sf_dir": "none"})()
-    many = False
-    for query in (forests.ml4, forests.ml5):
-        with pytest.raises(KeyError):
-            query(inputs)
-    assert asked == [("pi", 1500, 30, 80), ("ir", 1500, 30, 80)]
-    many = True
-    asked.clear()
-    forests.shared_cv(inputs)
-    assert len(asked) == 30 and {x[1:3] for x in asked} == {(1500, 30)} and sum(x[3] for x in asked) == 3 * 9 * 80
-    asked.clear()
-    assert forests.ml11(inputs).count() == 2
-    assert len(asked) == 60 and {x[1:3] for x in asked} == {(5000, 30)} and sum(x[3] for x in asked) == 3 * 9 * 80

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from understory.functions.scalars import round_to
-from understory.operators.explain import (aligned_mean_curves, centered_logit, feature_grid, partial_dependence_exact,
-                                          partial_dependence_fast)
-from understory.operators.forest import (CrossValidation, ModelSpec, accuracy, assemble, complete_cases, fit_forest,
-                                         holdout_metrics, holdout_predictions, permutation_importance, rsq, run_cv,
-                                         run_cv_by_site, site_metrics, specs_for)
+from understory.operators.aggregates import importance_summary
+from understory.operators.explain import aligned_mean_curves, centered_logit, feature_grid
+from understory.operators.forest import ModelSpec, accuracy, assemble, complete_cases, holdout_metrics, rsq, specs_for
+from understory.operators.ordering import zscore
 from understory.operators.resample import group_folds, split_sizes, train_test_split
+from understory.operators.study import (ForestStudy, curves, load_study, out_of_bag_importance, predictions, saved_study,
+                                        sites_with_more_than)
 from understory.operators.verbs import stack_tagged
 from understory.plans.catalog.aggregates import FOLDS_SQL, rounded
 from understory.plans.catalog.ecology_spatial import model_table
@@ -21,7 +22,6 @@ from understory.plans.model_table import PREDICTORS
 from understory.plans.registry import query
 
 FEATURES = PREDICTORS
-_FITTED: dict[tuple, CrossValidation] = {}
 
 
 def forest_table(i: Inputs) -> DataFrame:
@@ -30,12 +30,20 @@ def forest_table(i: Inputs) -> DataFrame:
     return complete_cases(d.select("site", "plot_id", "year", *FEATURES, "rer", "rel_cover_exotic", "i_cat"))
 
 
-def shared_cv(i: Inputs) -> CrossValidation:
-    """Ten grouped folds by three responses, fitted as in the study, once per session and data folder."""
-    key = (i.spark.sparkContext.applicationId, i.sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = run_cv(forest_table(i), specs_for(FEATURES), seed=11)
-    return _FITTED[key]
+def across_study(i: Inputs) -> ForestStudy:
+    """Ten grouped folds by three responses, as in the study; fitted once for the same rows, then read."""
+    return saved_study(forest_table(i), "across-sites", specs_for(FEATURES), seed=11)
+
+
+def within_study(i: Inputs) -> ForestStudy:
+    """The same apart for each site with more than 30 rows."""
+    rows = sites_with_more_than(forest_table(i), "site", 30)
+    return saved_study(rows, "within-sites", specs_for(FEATURES), within="site", seed=5)
+
+
+def one_forest(i: Inputs, spec: ModelSpec) -> DataFrame:
+    """All rows scored by one forest of all rows."""
+    return predictions(saved_study(forest_table(i), f"forest-{spec.name}", [spec], v=0, seed=3))
 
 
 @query("ml1_group_folds", f"SELECT p.plot_id, p.year, f.fold FROM v_plot_year p JOIN ({FOLDS_SQL}) f ON f.g = p.plot_id")
@@ -60,20 +68,15 @@ def ml3(i: Inputs) -> DataFrame:
 
 @query("ml4_forest_classifier")
 def ml4(i: Inputs) -> DataFrame:
-    spec = ModelSpec("pi", "i_cat", "class", FEATURES)
-    d = assemble(forest_table(i), FEATURES)
-    model = fit_forest(d, spec, seed=3)
-    p = vector_to_array("probability")
-    return model.transform(d).select("plot_id", "year", "i_cat", F.col("prediction").alias("pred_class"),
-                                     round_to(p[0], 6).alias("p_not_invaded"))
+    out = one_forest(i, ModelSpec("pi", "i_cat", "class", FEATURES))
+    return out.select("plot_id", "year", F.col("truth").cast("int").alias("i_cat"), F.col("pred").alias("pred_class"),
+                      round_to(F.lit(1.0) - F.col("value"), 6).alias("p_not_invaded"))
 
 
 @query("ml5_forest_regressor")
 def ml5(i: Inputs) -> DataFrame:
-    spec = ModelSpec("ir", "rer", "reg", FEATURES)
-    d = assemble(forest_table(i), FEATURES)
-    model = fit_forest(d, spec, seed=3)
-    return model.transform(d).select("plot_id", "year", "rer", round_to(F.col("prediction"), 6).alias("pred"))
+    out = one_forest(i, ModelSpec("ir", "rer", "reg", FEATURES))
+    return out.select("plot_id", "year", F.col("truth").alias("rer"), round_to(F.col("pred"), 6).alias("pred"))
 
 
 @query("ml6_assembled_predictors", """
@@ -87,7 +90,7 @@ def ml6(i: Inputs) -> DataFrame:
 
 @query("ml7_holdout_predictions")
 def ml7(i: Inputs) -> DataFrame:
-    return rounded(holdout_predictions(shared_cv(i)).drop("kind"), 6, "truth", "pred")
+    return rounded(predictions(across_study(i)).drop("kind", "value"), 6, "truth", "pred")
 
 
 @query("ml8_holdout_accuracy", """
@@ -105,17 +108,23 @@ def ml9(i: Inputs) -> DataFrame:
 
 @query("ml10_cross_validation")
 def ml10(i: Inputs) -> DataFrame:
-    return rounded(holdout_metrics(holdout_predictions(shared_cv(i))), 6, "est")
+    return rounded(holdout_metrics(predictions(across_study(i))), 6, "est")
 
 
 @query("ml11_within_site_cross_validation")
 def ml11(i: Inputs) -> DataFrame:
-    return rounded(site_metrics(run_cv_by_site(forest_table(i), specs_for(FEATURES), seed=5)), 6, "est")
+    return rounded(holdout_metrics(predictions(within_study(i)), by=["site"]), 6, "est")
 
 
 @query("ml12_permutation_importance")
 def ml12(i: Inputs) -> DataFrame:
-    return rounded(permutation_importance(shared_cv(i), seed=1), 6, "value")
+    return rounded(out_of_bag_importance(across_study(i)), 6, "value")
+
+
+@query("ml12_within_site_importance")
+def ml12_within(i: Inputs) -> DataFrame:
+    """Mean and deviation over sites and folds, as the study shows it."""
+    return rounded(importance_summary(out_of_bag_importance(within_study(i)), clamp=True), 6, "mean", "sd")
 
 
 @query("ml13_accuracy_table", """
@@ -143,12 +152,26 @@ def ml14_grid(i: Inputs) -> DataFrame:
 
 @query("ml14_partial_dependence_fast")
 def ml14(i: Inputs) -> DataFrame:
-    return rounded(partial_dependence_fast(shared_cv(i)), 6, "value", "yhat")
+    return rounded(curves(across_study(i)), 6, "value", "yhat")
 
 
 @query("ml15_partial_dependence_exact")
 def ml15(i: Inputs) -> DataFrame:
-    return rounded(partial_dependence_exact(shared_cv(i)), 6, "value", "yhat")
+    return rounded(curves(within_study(i), exact=True), 6, "value", "yhat")
+
+
+@query("ml15_within_site_curves")
+def ml15_scaled(i: Inputs) -> DataFrame:
+    """The four predictors shown, x and prediction standardized within each curve."""
+    shown = curves(within_study(i), exact=True).filter(F.col("name").isin("rumple", "entropy", "nspp_native", "mean_max_canopy_ht"))
+    scaled = zscore(shown, ["value", "yhat"], ["site", "rep", "name", "response"])
+    return rounded(scaled.dropna(), 6, "value", "yhat")
+
+
+@query("src7_load_saved_study")
+def src7_study(i: Inputs) -> DataFrame:
+    """Importance from a study that is read from its folder alone."""
+    return rounded(out_of_bag_importance(load_study(i.spark, across_study(i).path)), 6, "value")
 
 
 @query("ml16_centered_logit", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -90,3 +91,20 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     """
     limit = broadcast_limit(df.sparkSession)
     return F.broadcast(df) if 0 <= plan_bytes(df) <= limit else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers that share the driver's file system import this package; elsewhere it is installed or sent along."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, known) if x)
+
+
+def rename_path(spark: SparkSession, source: str, target: str) -> None:
+    """Move a finished folder to its name in one step; if another run was first, its equal result stays."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(target)) and not files.rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
