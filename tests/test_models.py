@@ -129,3 +129,18 @@ def test_logit_residuals_and_collinearity(nested):
     table = glm.coef_frame(nested.sparkSession, ["x"], [1.959963984540054], [1.0])
     w = glm.wald_tests(table).first()
     assert w.statistic == pytest.approx(3.841458820694124) and w.p_value == pytest.approx(0.05)
+
+
+def test_gradient_is_the_slope_of_the_laplace_likelihood(nested):
+    from understory.operators import mixed
+
+    few = nested.filter("site IN ('s0', 's1', 's2', 's3', 's4')")
+    for family, label, more in (("binomial", "y", []), ("beta", "b", [2.2])):
+        prob = mixed._Problem(few, label, ["x"], "site", "plot_id", family)
+        theta = np.array([-0.3, 0.5, -0.4, -0.9, *more])
+        at, state = prob.settle(theta)
+        m = len(theta)
+        near = [sign * 1e-3 * np.eye(m)[i] for i in range(m) for sign in (1, -1)]
+        found, _ = prob.totals([theta + n for n in near], prob.plot_sums(theta, state, near))
+        slope = [(found[2 * i]["value"] - found[2 * i + 1]["value"]) / 2e-3 for i in range(m)]
+        assert np.allclose(at["grad"], slope, rtol=0.01, atol=0.05), family

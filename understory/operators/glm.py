@@ -18,6 +18,7 @@ from understory.functions.special import inv_logit
 from understory.operators.verbs import map_numeric, stack_tagged
 
 COEF_SCHEMA = "term string, estimate double, std_error double, statistic double, p_value double"
+MOST_CLASSES = 1000  # of a predictor that curves are repeated for
 Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
 
 
@@ -189,8 +190,11 @@ def effect_curve(df: DataFrame, term: str, coefs: Mapping[str, float], vcov: Map
 
 
 def _combinations(df: DataFrame, term: str, by: str) -> DataFrame:
-    """Every class value against every x: the class list is small and travels as one array."""
-    classes = df.filter(F.col(by).isNotNull()).agg(F.collect_set(by).alias("c"))
+    """Every class value against every x: the class list travels as one array, so it has to be short."""
+    named = df.select(by).filter(F.col(by).isNotNull()).distinct()
+    if len(named.limit(MOST_CLASSES + 1).collect()) > MOST_CLASSES:
+        raise ValueError(f"{by} has over {MOST_CLASSES} values: no class to repeat a curve for")
+    classes = named.agg(F.collect_list(by).alias("c"))
     xs = df.select(term).filter(F.col(term).isNotNull()).distinct()
     return xs.select(term, F.explode(classes.scalar()).alias(by))
 

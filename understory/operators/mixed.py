@@ -1,36 +1,40 @@
 """Logit models with nested random intercepts (site, plot within site), fitted by Laplace approximation.
 
-The marginal likelihood splits by site and, given the site effect, by plot.
-Every quantity the fit needs is therefore a sum over rows per plot, then over
-plots per site, then over sites: three partial aggregates in the JVM. Rows never
-leave the executors and no plot or site is gathered in one task; the driver only
-sees one number per candidate parameter vector.
-
-One Newton step on the parameters evaluates a small design of candidate vectors
-(centre, plus and minus a step per parameter, and pairs) in a single job.
+The marginal likelihood splits by site and, given the site effect, by plot. Its value, its gradient and the next step of
+the random effects are all sums over rows per plot, then over plots per site, then over sites: three partial aggregates.
+Row sums come from small runs of one plot's rows, packed once; eliminating the plots of a site and then the site is
+closed-form algebra on those sums. No site is gathered in one task and no row is copied; the driver gets one row of sums
+per candidate parameter vector, and one pass over the rows gives value, gradient and new random effects together.
 """
 
 from __future__ import annotations
 
-import itertools
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from understory.functions.special import bernoulli_loglik, digamma, inv_logit, lgamma, trigamma
+from understory.functions.special import inv_logit
+from understory.operators import glm
 from understory.operators.glm import binomial_logit, coef_frame, linear_predictor
-from understory.session import broadcast_if_small, stored
+from understory.operators.likelihood import beta_rows, bernoulli_rows
+from understory.operators.simulate import zero_beta_moments
+from understory.session import WRITERS, broadcast_if_small, ship_package, stored
+from understory.streaming.incremental import build_once, content_path
 
 LOG_SIGMA_FLOOR = -4.0
-STEP = 0.01
-INNER = 3        # mode-finding steps of a line search
-INNER_NEAR = 1   # enough for candidates a small step away from a converged centre
+STEP = 0.01             # of the differences of gradients that give the covariance
+RUN_ROWS = 1 << 12      # rows of a plot in one packed run
+SETTLED = 1e-5          # log-likelihood that a further step of the random effects may still gain
 
 
 @dataclass
@@ -69,6 +73,10 @@ class MixedFit:
     def random_variance(self) -> float:
         return self.sigma_site**2 + self.sigma_plot**2
 
+    @property
+    def n_params(self) -> int:
+        return len(self.terms) + (3 if self.family == "beta" else 2)
+
     def coef_table(self) -> DataFrame:
         se = np.sqrt(np.maximum(np.diag(self.vcov), 0))
         return coef_frame(self.modes.sparkSession, self.terms, self.estimate, se)
@@ -78,11 +86,11 @@ class MixedFit:
         return table.withColumns({"n_rows": F.lit(self.n_rows), "n_dropped": F.lit(self.n_dropped),
                                   "n_iter": F.lit(self.n_iter), "converged": F.lit(self.converged)})
 
-    def residual_variance(self, mean: float | None = None) -> float:
-        """Link-scale residual variance: pi^2/3 for logit, ln(1+cv^2) at the mean for beta."""
-        if self.family == "binomial":
-            return math.pi**2 / 3
-        return math.log1p(mean * (1 - mean) / (1 + self.phi) / mean**2)
+    def residual_variance(self) -> float:
+        """Residual variance on the scale of the logit link."""
+        if self.family != "binomial":
+            raise ValueError("a beta part has its residual variance with the zero part: ZeroInflatedFit.residual_variance")
+        return math.pi**2 / 3
 
     def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
         """Conditional prediction; unseen sites and plots get an effect of zero."""
@@ -96,9 +104,69 @@ class MixedFit:
                 .drop("_ms", "_mp", "_ss", "u_site", "u_plot"))
 
 
-def _pick(values: Sequence[float], k: Column) -> Column:
-    """Entry k of a literal array."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), k + 1)
+@dataclass(frozen=True)
+class Algebra:
+    """Elimination of plots and sites on arrays of their sums; `p` is the number of fixed effects."""
+
+    family: str
+    p: int
+
+    @property
+    def m(self) -> int:
+        return self.p + (3 if self.family == "beta" else 2)
+
+    def sums(self) -> list[str]:
+        """Names of a plot's sums over its rows: density, score, expected and observed information and its slope, their
+        derivatives by the log precision, and products with the predictors."""
+        return [*_ROW_SUMS, *[f"{n}x{j}" for n in ("g", "w", "t") for j in range(self.p)]]
+
+    def site_sums(self) -> list[str]:
+        """Names of a site's sums over its plots."""
+        return list(self.eliminated({n: np.ones(1) for n in [*self.sums(), "_v"]}, np.zeros(self.p + 3)))
+
+    def eliminated(self, c: dict[str, np.ndarray], theta: np.ndarray) -> dict[str, np.ndarray]:
+        """What each plot adds to its site once its own effect is eliminated."""
+        tp, v, t = math.exp(-2 * theta[self.p + 1]), c["_v"], c["t"]
+        d, e = np.maximum(c["w"] + tp, tp * 1e-6), c["we"] + tp
+        d2, d3, pulled = d * d, d * d * d, 2 * v * tp
+        step, de = _stepping(c, tp)
+        out = {"n": np.ones_like(d), "l": c["l"], "s": tp * c["w"] / d, "logd": np.log(d), "inv": 1 / d, "w2": c["w"] ** 2 / d2, "v2": v * v,
+               "t2": t / d2, "t3": t / d3, "lk": c["lk"], "wk1": c["wk"] / d, "wk2": c["wk"] / d2, "gk": c["gk"] * tp / d,
+               "tgk2": t * c["gk"] / d2, "tgk3": t * c["gk"] / d3, "pull": c["w"] * pulled / d, "tp2": t * pulled / d2, "tp3": t * pulled / d3,
+               "se": tp * c["we"] / e, "r1": tp * (c["g"] + c["we"] * v) / e, "r2": (c["g"] - v * tp) ** 2 / e,
+               "schur": step * tp / de, "rg": c["g"] * tp / de, "rk": c["gk"] * tp / de, "rp": step * v * tp / de}
+        for j in range(self.p):
+            wx, tx = c[f"wx{j}"], c[f"tx{j}"]
+            out |= {f"gx{j}": c[f"gx{j}"], f"a{j}": tp * wx / d, f"tx1_{j}": tx / d, f"tx2_{j}": tx / d2, f"twx2_{j}": t * wx / d2,
+                    f"twx3_{j}": t * wx / d3, f"rx{j}": wx * tp / de}
+        return out
+
+    def finished(self, s: dict[str, np.ndarray], u: np.ndarray, theta: np.ndarray) -> dict[str, np.ndarray]:
+        """What each site adds to the log-likelihood, its gradient, and to what a further step of the effects would gain."""
+        ts, tp = (math.exp(-2 * theta[j]) for j in (self.p, self.p + 1))
+        big = np.maximum(s["s"] + ts, ts * 1e-6)
+        ratio, own = tp * tp / big, tp * s["t2"] + tp**3 / big * s["t3"]
+        out = {"value": s["l"] - u * u * ts / 2 - s["v2"] * tp / 2 - theta[self.p] - s["n"] * theta[self.p + 1] - s["logd"] / 2 - np.log(big) / 2,
+               "gain": 0.5 * (s["r2"] + (s["r1"] - u * ts) ** 2 / (s["se"] + ts))}
+        slopes = [s[f"gx{j}"] - 0.5 * (s[f"tx1_{j}"] + ratio * s[f"tx2_{j}"] - s[f"a{j}"] / big * own - s[f"twx2_{j}"] - ratio * s[f"twx3_{j}"])
+                  for j in range(self.p)]
+        slopes.append(u * u * ts - 1 + ts / big - u * ts / big * own)
+        slopes.append(s["v2"] * tp - s["n"] + tp * (s["inv"] + s["w2"] / big) - 0.5 * (s["tp2"] + ratio * s["tp3"] - s["pull"] / big * own))
+        if self.family == "beta":
+            slopes.append(s["lk"] - 0.5 * (s["wk1"] + ratio * s["wk2"] + s["gk"] / big * own + s["tgk2"] + ratio * s["tgk3"]))
+        return out | {f"g{j}": x for j, x in enumerate(slopes)}
+
+    def moved(self, c: dict[str, np.ndarray], s: dict[str, np.ndarray], u: np.ndarray, theta: np.ndarray, change: np.ndarray):
+        """Site and plot effects after a Newton step at theta, carried along to theta + change."""
+        p, v = self.p, c["_v"]
+        ts, tp = (math.exp(-2 * theta[j]) for j in (p, p + 1))
+        step, de = _stepping(c, tp)
+        kappa = change[p + 2] if self.family == "beta" else 0.0
+        at_site = s["rg"] + s["rk"] * kappa - s["rp"] * (2 * change[p + 1] - 1) - sum(s[f"rx{j}"] * change[j] for j in range(p))
+        ds = (at_site + u * ts * (2 * change[p] - 1)) / np.maximum(s["schur"] + ts, 0.1 * ts)
+        ds = np.clip(ds, -3, 3)
+        at_plot = c["g"] + c["gk"] * kappa + v * tp * (2 * change[p + 1] - 1) - sum(c[f"wx{j}"] * change[j] for j in range(p))
+        return u + ds, v + np.clip((at_plot - step * ds) / de, -3, 3)
 
 
 class _Problem:
@@ -125,6 +193,12 @@ class _Problem:
         # read once per step: written to shared storage so every step's plan starts at a scan
         self.rows = stored(rows.withColumns(z) if z else rows, "rows")
         self.p = len(x) + 1
+        self.algebra = Algebra(family, self.p)
+        self.m = self.algebra.m
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema}
+        self.key_types = f"_s {kinds['_s']}, _p {kinds['_p']}"
+        ship_package(df.sparkSession)
+        self.runs = self.pack()
 
     # parameter layout: beta (p), log sigma site, log sigma plot[, log phi]
 
@@ -145,185 +219,181 @@ class _Problem:
             beta = [lin.intercept, *lin.coefficients]
         else:
             beta = [logit.agg(F.avg("_l")).first()[0]]
-        mu = inv_logit(self._eta([np.array(beta)], F.lit(0)))
+        mu = inv_logit(linear_predictor({"(Intercept)": beta[0]} | dict(zip(xs, beta[1:]))))
         r = self.rows.agg(F.avg(mu * (F.lit(1.0) - mu)).alias("v"),
                           F.avg((F.col("_y") - mu) * (F.col("_y") - mu)).alias("e")).first()
         phi = max(r["v"] / max(r["e"], 1e-12) - 1, 0.5)
         return np.array([*beta, math.log(0.3), math.log(0.3), math.log(phi)])
 
-    def start_modes(self) -> DataFrame:
-        return self.rows.select("_s", "_p").distinct().select(
-            "_s", "_p", F.lit(0.0).alias("_us"), F.lit(0.0).alias("_up"))
-
-    def _eta(self, thetas, k: Column) -> Column:
-        eta = _pick([t[0] for t in thetas], k)
-        for j in range(self.p - 1):
-            eta = eta + _pick([t[j + 1] for t in thetas], k) * F.col(f"_x{j}")
-        return eta
-
-    def _row_terms(self, d: DataFrame, thetas, final: bool) -> DataFrame:
-        """Per-row score `_g`, expected information `_w`; when final also log-density and observed information."""
-        k = F.col("_k")
-        d = d.withColumn("_eta", self._eta(thetas, k) + F.col("_us") + F.col("_up"))
-        y = F.col("_y")
-        if self.family == "binomial":
-            mu = inv_logit(F.col("_eta"))
-            d = d.withColumn("_mu", mu)
-            w = F.col("_mu") * (F.lit(1.0) - F.col("_mu"))
-            d = d.withColumns({"_g": y - F.col("_mu"), "_w": w})
-            return d.withColumns({"_l": bernoulli_loglik(y, F.col("_eta")), "_o": F.col("_w")}) if final else d
-        log_phi = [min(t[self.p + 2], 30.0) for t in thetas]
-        d = d.withColumns({"_mu": F.greatest(F.least(inv_logit(F.col("_eta")), F.lit(1 - 1e-9)), F.lit(1e-9)),
-                           "_phi": _pick([math.exp(v) for v in log_phi], k),
-                           "_lg": _pick([math.lgamma(math.exp(v)) for v in log_phi], k)})
-        d = d.withColumns({"_a": F.col("_mu") * F.col("_phi"), "_b": (F.lit(1.0) - F.col("_mu")) * F.col("_phi"),
-                           "_v": F.col("_mu") * (F.lit(1.0) - F.col("_mu")),
-                           "_dy": F.ln(y / (F.lit(1.0) - y))})
-        d = d.withColumns({"_dev": F.col("_dy") - (digamma(F.col("_a")) - digamma(F.col("_b"))),
-                           "_tri": trigamma(F.col("_a")) + trigamma(F.col("_b"))})
-        phi, v = F.col("_phi"), F.col("_v")
-        d = d.withColumns({"_g": phi * v * F.col("_dev"), "_w": phi * phi * v * v * F.col("_tri")})
-        if not final:
-            return d
-        loglik = (F.col("_lg") - lgamma(F.col("_a")) - lgamma(F.col("_b"))
-                  + (F.col("_a") - 1.0) * F.ln(y) + (F.col("_b") - 1.0) * F.ln(F.lit(1.0) - y))
-        observed = F.col("_w") - phi * v * (F.lit(1.0) - F.col("_mu") * 2.0) * F.col("_dev")
-        return d.withColumns({"_l": loglik, "_o": observed})
-
-    def _precisions(self, thetas, k: Column) -> tuple[Column, Column]:
-        return (_pick([math.exp(-2 * t[self.p]) for t in thetas], k),
-                _pick([math.exp(-2 * t[self.p + 1]) for t in thetas], k))
-
-    def _join_modes(self, modes: DataFrame, n: int, per_candidate: bool) -> DataFrame:
-        if per_candidate:
-            wide = modes.groupBy("_s", "_p").agg(F.collect_list(F.struct("_k", "_us", "_up")).alias("_m"))
-            d = self.rows.join(broadcast_if_small(wide), ["_s", "_p"])  # one small array per plot
-            return d.select(*self.rows.columns, F.explode("_m").alias("_m")).select(
-                *self.rows.columns, "_m._k", "_m._us", "_m._up")
-        d = self.rows.join(broadcast_if_small(modes), ["_s", "_p"])
-        return d.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def newton(self, thetas, modes: DataFrame, per_candidate: bool) -> DataFrame:
-        """One step of the random effects towards their modes, per candidate."""
-        k = F.col("_k")
-        d = self._row_terms(self._join_modes(modes, len(thetas), per_candidate), thetas, final=False)
-        plots = d.groupBy("_s", "_p", "_k").agg(F.sum("_g").alias("_g"), F.sum("_w").alias("_w"),
-                                                F.max("_us").alias("_us"), F.max("_up").alias("_up"))
-        ps, pp = self._precisions(thetas, k)
-        # used twice below, so written once: one row per plot and candidate
-        plots = stored(plots.withColumns({"_gp": F.col("_g") - F.col("_up") * pp, "_d": F.col("_w") + pp}), "modes")
-        sites = plots.groupBy(F.col("_s").alias("_s2"), F.col("_k").alias("_k2")).agg(
-            F.sum("_g").alias("_gs"), F.max("_us").alias("_u"),
-            F.sum(F.col("_w") * F.col("_gp") / F.col("_d")).alias("_c"),
-            F.sum(F.col("_w") / F.col("_d")).alias("_wd"),
-            F.sum(F.col("_w") * (F.lit(1.0) - F.col("_w") / F.col("_d"))).alias("_schur"))
-        ps2, _ = self._precisions(thetas, F.col("_k2"))
-        step = (F.col("_gs") - F.col("_u") * ps2 - F.col("_c")) / (F.col("_schur") + ps2)
-        sites = sites.select("_s2", "_k2", step.alias("_ds"))
-        out = plots.join(sites, (plots["_s"] == sites["_s2"]) & (plots["_k"] == sites["_k2"]))
-        limited = F.greatest(F.least(F.col("_ds"), F.lit(3.0)), F.lit(-3.0))
-        dp = (F.col("_gp") - F.col("_w") * F.col("_ds")) / F.col("_d")
-        return out.select("_s", "_p", "_k", (F.col("_us") + limited).alias("_us"),
-                          (F.col("_up") + F.greatest(F.least(dp, F.lit(3.0)), F.lit(-3.0))).alias("_up"))
-
-    def evaluate(self, thetas, modes: DataFrame) -> np.ndarray:
-        """Laplace log-likelihood of every candidate at its modes."""
-        k = F.col("_k")
-        d = self._row_terms(self._join_modes(modes, len(thetas), True), thetas, final=True)
-        plots = d.groupBy("_s", "_p", "_k").agg(F.sum("_l").alias("_l"), F.sum("_o").alias("_o"),
-                                                F.max("_us").alias("_us"), F.max("_up").alias("_up"))
-        ps, pp = self._precisions(thetas, k)
-        plots = plots.withColumns({"_pp": pp, "_d": F.greatest(F.col("_o") + pp, pp * 1e-6)})
-        log_sp = _pick([t[self.p + 1] for t in thetas], k)
-        per_plot = (F.col("_l") - F.col("_up") * F.col("_up") * F.col("_pp") / 2.0 - log_sp - F.ln(F.col("_d")) / 2.0)
-        sites = plots.groupBy("_s", "_k").agg(
-            F.sum(per_plot).alias("_l"), F.max("_us").alias("_us"),
-            F.sum(F.col("_o") * F.col("_pp") / F.col("_d")).alias("_schur"))
-        log_ss = _pick([t[self.p] for t in thetas], k)
-        per_site = (F.col("_l") - F.col("_us") * F.col("_us") * ps / 2.0 - log_ss
-                    - F.ln(F.greatest(F.col("_schur") + ps, ps * 1e-6)) / 2.0)
-        got = {r["_k"]: r["ll"] for r in sites.groupBy("_k").agg(F.sum(per_site).alias("ll")).collect()}
-        return np.array([got[j] for j in range(len(thetas))])  # one number per candidate
-
-    def climb(self, thetas, modes: DataFrame, steps: int, per_candidate: bool = False) -> DataFrame:
-        for s in range(steps):
-            modes = self.newton(thetas, modes, per_candidate or s > 0)
-        return modes
-
-
-def _design(theta: np.ndarray, h: float, central: bool):
-    """Candidate vectors around theta and a function turning their values into gradient and Hessian."""
-    m = len(theta)
-    unit = np.eye(m) * h
-    pairs = list(itertools.combinations(range(m), 2))
-    cand = [theta] + [theta + unit[i] for i in range(m)] + [theta - unit[i] for i in range(m)]
-    cand += [theta + unit[i] + unit[j] for i, j in pairs]
-    if central:
-        cand += [theta - unit[i] - unit[j] for i, j in pairs]
-
-    def derivatives(val: np.ndarray):
-        f0, up, down = val[0], val[1:m + 1], val[m + 1:2 * m + 1]
-        grad = (up - down) / (2 * h)
-        hess = np.diag((up - 2 * f0 + down) / h**2)
-        for n, (i, j) in enumerate(pairs):
-            plus = val[2 * m + 1 + n]
-            if central:
-                minus = val[2 * m + 1 + len(pairs) + n]
-                c = (plus - up[i] - up[j] + 2 * f0 - down[i] - down[j] + minus) / (2 * h**2)
-            else:
-                c = (plus - up[i] - up[j] + f0) / h**2
-            hess[i, j] = hess[j, i] = c
-        return grad, hess
-
-    return cand, derivatives
+    def pack(self) -> DataFrame:
+        """Rows of one plot in runs of at most RUN_ROWS, as arrays; a frequent plot has many runs."""
+        p = self.p - 1
+
+        def runs(batches):
+            for batch in batches:
+                x = np.stack([np.asarray(batch[f"_x{j}"]) for j in range(p)], 1) if p else np.zeros((len(batch), 0))
+                y, site, plot = np.asarray(batch["_y"]), batch["_s"].to_pylist(), batch["_p"].to_pylist()
+                start = 0
+                for end in range(1, len(y) + 1):
+                    if end == len(y) or end - start == RUN_ROWS or (site[end], plot[end]) != (site[start], plot[start]):
+                        one = batch.slice(start, 1)
+                        yield pa.RecordBatch.from_arrays([one["_s"], one["_p"], pa.array([y[start:end].tobytes()], pa.binary()),
+                                                          pa.array([x[start:end].tobytes()], pa.binary())], names=["_s", "_p", "_ys", "_xs"])
+                        start = end
+
+        salt = F.pmod(F.xxhash64(*self.rows.columns), F.lit(WRITERS))
+        spread = self.rows.repartition("_s", "_p", salt).sortWithinPartitions("_s", "_p")
+        return stored(spread.mapInArrow(runs, f"{self.key_types}, _ys binary, _xs binary"), "runs")
+
+    def plot_sums(self, theta: np.ndarray, state: tuple[DataFrame, DataFrame] | None, changes: Sequence[np.ndarray]) -> DataFrame:
+        """Sums of every plot at theta + change for each change, its effects carried along from the state at theta."""
+        algebra, p, beta, started = self.algebra, self.p, self.family == "beta", state is not None
+        names, site_names = algebra.sums(), algebra.site_sums()
+        plot_names = [*names, "_v"]
+        thetas = [np.asarray(theta + c) for c in changes]
+
+        def run(batches):
+            for batch in batches:
+                ys = [np.frombuffer(b) for b in batch["_ys"].to_pylist()]
+                sizes = np.array([len(y) for y in ys])
+                y = np.concatenate(ys)
+                x = np.concatenate([np.ones((len(y), 1)), np.frombuffer(b"".join(batch["_xs"].to_pylist())).reshape(len(y), p - 1)], 1)
+                starts = np.cumsum(sizes) - sizes
+                if started:
+                    c = {n: np.asarray(batch[n]) for n in plot_names}
+                    s, u = {n: np.asarray(batch[f"s_{n}"]) for n in site_names}, np.asarray(batch["_u"])
+                keys = [batch["_s"], batch["_p"]]
+                for k, (at, change) in enumerate(zip(thetas, changes)):
+                    us, up = algebra.moved(c, s, u, theta, change) if started else (np.zeros(len(ys)), np.zeros(len(ys)))
+                    eta = x @ at[:p] + np.repeat(us + up, sizes)
+                    of = beta_rows(y, eta, math.exp(min(at[p + 2], 30.0))) if beta else bernoulli_rows(y, eta)
+                    columns = [of[n] for n in _ROW_SUMS] + [of[n] * x[:, j] for n in ("g", "w", "t") for j in range(p)]
+                    found = np.add.reduceat(np.stack(columns, 1), starts, axis=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [*keys, pa.array(np.full(len(ys), k), pa.int32()), pa.array(us), pa.array(up), *[pa.array(f) for f in np.ascontiguousarray(found.T)]],
+                        names=["_s", "_p", "_k", "_u", "_v", *names])
+
+        at = self.runs
+        if state is not None:
+            at = at.join(broadcast_if_small(state[0].drop("_k")), ["_s", "_p"]).join(broadcast_if_small(state[1].drop("_k", "_su")), ["_s"])
+        fields = f"{self.key_types}, _k int, " + ", ".join(f"`{n}` double" for n in ("_u", "_v", *names))
+        return at.mapInArrow(run, fields).groupBy("_s", "_p", "_k").agg(
+            F.max("_u").alias("_u"), F.max("_v").alias("_v"), *[F.sum(n).alias(n) for n in names])
+
+    def totals(self, thetas: Sequence[np.ndarray], plots: DataFrame) -> tuple[list[dict], DataFrame]:
+        """Per candidate the Laplace log-likelihood, its gradient, and what a further step of the effects would gain; and
+        the sums of the sites. Plots are eliminated first, then sites."""
+        algebra = self.algebra
+        plot_names, site_names = [*algebra.sums(), "_v"], algebra.site_sums()
+
+        def per_plot(batches):
+            for batch in batches:
+                which = np.asarray(batch["_k"])
+                columns = {n: np.asarray(batch[n]) for n in plot_names}
+                for k in np.unique(which):
+                    mine = np.flatnonzero(which == k)
+                    out = algebra.eliminated({n: v[mine] for n, v in columns.items()}, thetas[k])
+                    kept = batch.select(["_s", "_k", "_u"]).take(pa.array(mine))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(out[n]) for n in site_names]],
+                                                     names=["_s", "_k", "_su", *[f"s_{n}" for n in site_names]])
+
+        site_type = self.key_types.split(", ")[0]
+        fields = f"{site_type}, _k int, _su double, " + ", ".join(f"`s_{n}` double" for n in site_names)
+        sites = stored(plots.mapInArrow(per_plot, fields).groupBy("_s", "_k").agg(
+            F.max("_su").alias("_su"), *[F.sum(f"s_{n}").alias(f"s_{n}") for n in site_names]), "sites")
+        ends = ["value", "gain", *[f"g{j}" for j in range(self.m)]]
+
+        def per_site(batches):
+            for batch in batches:
+                which, u = np.asarray(batch["_k"]), np.asarray(batch["_su"])
+                columns = {n: np.asarray(batch[f"s_{n}"]) for n in site_names}
+                rows = []
+                for k in np.unique(which):
+                    mine = which == k
+                    out = algebra.finished({n: v[mine] for n, v in columns.items()}, u[mine], thetas[k])
+                    rows.append([out[n].sum() for n in ends])
+                table = np.array(rows).reshape(-1, len(ends))
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(which), pa.int32()), *[pa.array(x) for x in np.ascontiguousarray(table.T)]],
+                                                 names=["_k", *ends])
+
+        found = sites.mapInArrow(per_site, "_k int, " + ", ".join(f"{n} double" for n in ends))
+        out = [None] * len(thetas)
+        for r in found.groupBy("_k").agg(*[F.sum(n).alias(n) for n in ends]).collect():  # one row per candidate
+            out[r["_k"]] = {"value": r["value"] + r["gain"], "gain": r["gain"], "grad": np.array([r[f"g{j}"] for j in range(self.m)])}
+        return out, sites
+
+    def settle(self, theta: np.ndarray, state=None, change: np.ndarray | None = None, enough: float = SETTLED, most: int = 8) -> tuple[dict, tuple]:
+        """Totals and state at theta + change once the random effects gain no more than `enough` by a further step."""
+        change = np.zeros_like(theta) if change is None else change
+        for _ in range(most):
+            plots = stored(self.plot_sums(theta, state, [change]), "plots")
+            theta, change = theta + change, np.zeros_like(theta)
+            (at,), sites = self.totals([theta], plots)
+            state = (plots, sites)
+            if at["gain"] <= enough or not np.isfinite(at["value"]):
+                break
+        return at, state
+
+    def hessian(self, theta: np.ndarray, state: tuple) -> np.ndarray:
+        """Central differences of the gradient, all in one pass over the rows."""
+        near = [sign * STEP * np.eye(self.m)[i] for i in range(self.m) for sign in (1, -1)]
+        moved, _ = self.totals([theta + n for n in near], stored(self.plot_sums(theta, state, near), "plots"))
+        hess = np.array([(moved[2 * i]["grad"] - moved[2 * i + 1]["grad"]) / (2 * STEP) for i in range(self.m)])
+        return (hess + hess.T) / 2
+
+
+_ROW_SUMS = ("l", "g", "we", "w", "t", "lk", "gk", "wk")
+
+
+def _stepping(c: dict[str, np.ndarray], tp: float) -> tuple[np.ndarray, np.ndarray]:
+    """Information to step by, and with the plot's precision: observed (exact near the mode), expected where that is too small."""
+    step = np.where(c["w"] + tp >= (c["we"] + tp) * 0.1, c["w"], c["we"])
+    return step, step + tp
 
 
 def fit_mixed(df: DataFrame, label: str, features: Sequence[str], site: str = "site", plot: str = "plot_id",
-              family: str = "binomial", max_iter: int = 15, tol: float = 0.01) -> MixedFit:
+              family: str = "binomial", max_iter: int = 25, tol: float = 1e-4) -> MixedFit:
     """Maximum Laplace likelihood of `label ~ features + (1 | site/plot)` with logit link.
 
     `family` is 'binomial' for 0/1 or 'beta' for a response inside (0, 1). Rows
-    with a missing value are left out. Standard errors come from the inverse
-    Hessian of the marginal likelihood. Iteration stops when the next step is
-    predicted to gain less than `tol` log-likelihood units.
+    with a missing value are left out. Newton steps, with the exact gradient and
+    its differences as Hessian, stop when the next one is predicted to gain less
+    than `tol` log-likelihood units. Standard errors come from the inverse
+    Hessian of the marginal likelihood.
     """
     prob = _Problem(df, label, features, site, plot, family)
-    theta = prob.start()
-    m, p = len(theta), prob.p
-    modes = prob.climb([theta], prob.start_modes(), INNER).drop("_k")
+    theta, p, m = prob.start(), prob.p, prob.m
+    at, state = prob.settle(theta)
     converged, n_iter = False, 0
-    while n_iter < max_iter and not converged:
-        n_iter += 1
-        cand, derivatives = _design(theta, STEP, central=False)
-        val = prob.evaluate(cand, prob.climb(cand, modes, INNER_NEAR))
-        grad, hess = derivatives(val)
-        at_floor = np.array([p <= i <= p + 1 and theta[i] <= LOG_SIGMA_FLOOR + 1e-9 and grad[i] < 0 for i in range(m)])
-        free = ~at_floor
-        eig, vec = np.linalg.eigh(-hess[np.ix_(free, free)])
-        eig = np.maximum(np.abs(eig), 1e-6 * max(1.0, np.abs(eig).max()))
+
+    def at_floor(i: int) -> bool:
+        return p <= i <= p + 1 and theta[i] <= LOG_SIGMA_FLOOR + 1e-9
+
+    while True:
+        hess = prob.hessian(theta, state)
+        free = np.array([not (at_floor(i) and at["grad"][i] < 0) for i in range(m)])
         delta = np.zeros(m)
-        delta[free] = vec @ ((vec.T @ grad[free]) / eig)
-        if 0.5 * float(grad @ delta) < tol:  # predicted gain in log-likelihood
-            converged = True
+        delta[free] = _inverse(-hess[np.ix_(free, free)]) @ at["grad"][free]
+        gain = 0.5 * float(at["grad"] @ delta)  # predicted, in log-likelihood
+        converged = gain < tol
+        if converged or n_iter == max_iter:
             break
-        delta = np.clip(delta, -1.5, 1.5)
-        steps = [1.0, 0.5, 0.2, 0.05]
-        tries = []
-        for s in steps:
-            t = theta + s * delta
+        n_iter += 1
+        delta /= max(1.0, np.abs(delta).max())
+        for j in (p, p + 1):  # a variance that keeps shrinking is tried at its end
+            if theta[j] < -2 and delta[j] < -0.3:
+                delta[j] = LOG_SIGMA_FLOOR - theta[j]
+        for _ in range(6):
+            t = theta + delta
             t[p:p + 2] = np.maximum(t[p:p + 2], LOG_SIGMA_FLOOR)
-            tries.append(t)
-        tried = stored(prob.climb(tries, modes, INNER), "tried")
-        tval = prob.evaluate(tries, tried)
-        best = int(np.nanargmax(tval))
-        if not tval[best] > val[0]:  # the predicted gain isn't there along the step: not converged
+            new, new_state = prob.settle(theta, state, t - theta, max(SETTLED, 1e-3 * gain))
+            if new["value"] > at["value"] - tol / 10:
+                break
+            delta = delta / 4
+        else:  # the predicted gain isn't there along the step: not converged
             break
-        theta = tries[best]
-        modes = tried.filter(F.col("_k") == best).drop("_k")
-    cand, derivatives = _design(theta, STEP, central=True)
-    val = prob.evaluate(cand, prob.climb(cand, modes, INNER_NEAR))
-    grad, hess = derivatives(val)
-    free = np.array([not (p <= i <= p + 1 and theta[i] <= LOG_SIGMA_FLOOR + 1e-9) for i in range(m)])
+        theta, at, state = t, new, new_state
+    free = np.array([not at_floor(i) for i in range(m)])
     cov = np.zeros((m, m))
     cov[np.ix_(free, free)] = np.linalg.pinv(-hess[np.ix_(free, free)])
 
@@ -331,11 +401,16 @@ def fit_mixed(df: DataFrame, label: str, features: Sequence[str], site: str = "s
     to_raw = np.eye(p)
     to_raw[0, 1:] = -prob.mean / prob.scale
     to_raw[1:, 1:] = np.diag(1 / prob.scale)
-    out = modes.select(F.col("_s").alias("site"), F.col("_p").alias("plot"), F.col("_us").alias("u_site"),
-                       F.col("_up").alias("u_plot"))
+    out = state[0].select(F.col("_s").alias("site"), F.col("_p").alias("plot"), F.col("_u").alias("u_site"), F.col("_v").alias("u_plot"))
     return MixedFit(family, label, ["(Intercept)", *features], to_raw @ theta[:p], to_raw @ cov[:p, :p] @ to_raw.T,
                     math.exp(theta[p]), math.exp(theta[p + 1]), math.exp(theta[p + 2]) if family == "beta" else None,
-                    float(val[0]), n_iter, converged, (site, plot), prob.n_rows, prob.n_dropped, out)
+                    float(at["value"]), n_iter, converged, (site, plot), prob.n_rows, prob.n_dropped, out)
+
+
+def _inverse(info: np.ndarray) -> np.ndarray:
+    """Inverse of a symmetric matrix, its eigenvalues lifted to be positive."""
+    value, vector = np.linalg.eigh(info)
+    return vector @ np.diag(1 / np.maximum(np.abs(value), 1e-6 * max(1.0, np.abs(value).max()))) @ vector.T
 
 
 @dataclass
@@ -355,11 +430,41 @@ class ZeroInflatedFit:
     def loglik(self) -> float:
         return self.zero.loglik + self.cond.loglik
 
+    @property
+    def n_params(self) -> int:
+        return self.zero.n_params + self.cond.n_params
+
+    def with_fit(self, table: DataFrame) -> DataFrame:
+        """A table with how the fit went: rows of both parts, rows of 1 left out, steps, convergence of both."""
+        return table.withColumns({
+            "n_rows": F.lit(self.zero.n_rows), "n_positive": F.lit(self.cond.n_rows), "n_dropped": F.lit(self.zero.n_dropped),
+            "n_ones_dropped": F.lit(self.n_ones), "n_iter": F.lit(max(self.zero.n_iter, self.cond.n_iter)),
+            "converged": F.lit(self.zero.converged and self.cond.converged)})
+
+    def parts(self, df: DataFrame, zero: str = "p_zero", mu: str = "mu") -> DataFrame:
+        """Conditional predictions of both parts: probability of a zero, and mean above zero."""
+        return self.zero.predict(self.cond.predict(df, mu), zero)
+
     def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
         """Expected response: probability of being non-zero times the conditional mean."""
-        d = self.zero.predict(self.cond.predict(df, "_c"), "_z")
+        d = self.parts(df, "_z", "_c")
         return d.withColumn(out, (F.lit(1.0) - F.col("_z")) * F.col("_c")).drop("_c", "_z")
 
+    def residual_variance(self, df: DataFrame) -> float:
+        """ln(1 + cv^2) of the response, with the precision and the zeros, at the means of both parts' fixed effects."""
+        at = df.agg(*[F.avg(inv_logit(linear_predictor(f.coefs))).alias(n) for n, f in (("z", self.zero), ("c", self.cond))]).first()
+        mean, variance = zero_beta_moments(at["z"], at["c"], self.cond.phi)
+        return math.log1p(variance / mean**2)
+
+    def r_squared(self, df: DataFrame) -> DataFrame:
+        """Marginal and conditional R2 of the conditional part."""
+        return glm.r_squared(df, self.cond.coefs, self.cond.random_variance, self.residual_variance(df))
+
+    def overdispersion(self, df: DataFrame, label: str) -> DataFrame:
+        """Squared Pearson residuals over the residual degrees of freedom, with both parts' mean and variance."""
+        mean, variance = zero_beta_moments(F.col("p_zero"), F.col("mu"), F.lit(float(self.cond.phi)))
+        return glm.overdispersion(self.parts(df), F.col(label), mean, variance, self.n_params)
+
 
 def fit_zero_inflated_beta(df: DataFrame, label: str, features: Sequence[str], zero_features: Sequence[str] = (),
                            site: str = "site", plot: str = "plot_id", drop_ones: bool = False,
@@ -374,7 +479,44 @@ def fit_zero_inflated_beta(df: DataFrame, label: str, features: Sequence[str], z
     y = F.col(label)
     n_ones = df.filter(y == 1).count()
     rows = df.filter(y.isNotNull() & (y < 1)) if drop_ones else df.filter(y.isNotNull())
-    zero = fit_mixed(rows.withColumn("_is_zero", (y == 0).cast("double")), "_is_zero", zero_features, site, plot,
-                     "binomial", **params)
-    cond = fit_mixed(rows.filter(y > 0), label, features, site, plot, "beta", **params)
+    parts = ((rows.withColumn("_is_zero", (y == 0).cast("double")), "_is_zero", zero_features, "binomial"),
+             (rows.filter(y > 0), label, features, "beta"))
+
+    def fit(part):
+        frame, response, terms, family = part
+        return fit_mixed(frame, response, terms, site, plot, family, **params)
+
+    with ThreadPoolExecutor(2) as pool:  # the two parts have no parameter in common
+        zero, cond = pool.map(inheritable_thread_target(fit), parts)
     return ZeroInflatedFit(zero, cond, n_ones if drop_ones else 0)
+
+
+def save_fit(fit: MixedFit | ZeroInflatedFit, path: str) -> None:
+    """Write a fit below `path`: the random effects as a table, all else in a manifest that is written last."""
+    if isinstance(fit, ZeroInflatedFit):
+        for name, part in (("zero", fit.zero), ("cond", fit.cond)):
+            save_fit(part, f"{path}/{name}")
+        spark, known = fit.zero.modes.sparkSession, {"n_ones": fit.n_ones}
+    else:
+        fit.modes.write.parquet(f"{path}/modes")
+        spark = fit.modes.sparkSession
+        known = {k: getattr(fit, k) for k in _SAVED} | {"estimate": list(map(float, fit.estimate)), "vcov": np.asarray(fit.vcov).tolist()}
+    spark.createDataFrame([(json.dumps(known),)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
+
+
+def load_fit(spark: SparkSession, path: str) -> MixedFit | ZeroInflatedFit:
+    """A saved fit that predicts, tests and explains as when it was fitted."""
+    known = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    if "n_ones" in known:
+        return ZeroInflatedFit(load_fit(spark, f"{path}/zero"), load_fit(spark, f"{path}/cond"), known["n_ones"])
+    estimate, vcov, keys = np.array(known.pop("estimate")), np.array(known.pop("vcov")), tuple(known.pop("keys"))
+    return MixedFit(estimate=estimate, vcov=vcov, keys=keys, modes=spark.read.parquet(f"{path}/modes"), **known)
+
+
+_SAVED = ("family", "label", "terms", "sigma_site", "sigma_plot", "phi", "loglik", "n_iter", "converged", "keys", "n_rows", "n_dropped")
+
+
+def saved_fit(rows: DataFrame, name: str, build: Callable[[DataFrame], MixedFit | ZeroInflatedFit]) -> MixedFit | ZeroInflatedFit:
+    """The fit of these stored rows: read if it has been made, else made and saved under a digest of the rows and the name."""
+    path = build_once(rows.sparkSession, content_path(rows, name, name), lambda fresh: save_fit(build(rows), fresh))
+    return load_fit(rows.sparkSession, path)

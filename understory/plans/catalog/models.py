@@ -2,46 +2,60 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from understory.functions.labels import RESPONSE_TITLE
 from understory.functions.scalars import round_to
 from understory.operators import glm
-from understory.operators.mixed import MixedFit, ZeroInflatedFit, fit_mixed, fit_zero_inflated_beta
+from understory.operators.joins import left_join
+from understory.operators.mixed import (MixedFit, ZeroInflatedFit, fit_mixed, fit_zero_inflated_beta, load_fit, save_fit,
+                                        saved_fit)
 from understory.operators.pca import pca
+from understory.operators.simulate import zero_beta_dispersion, zero_beta_residuals
 from understory.plans.catalog.aggregates import rounded
 from understory.plans.catalog.ecology_spatial import model_table
 from understory.plans.fixtures import Inputs
 from understory.plans.registry import query
-from understory.session import stored
+from understory.session import scratch_path, stored
 
 STRUCTURE_14 = ("vai", "vci", "vert_sd", "q25", "q50", "gfp", "entropy", "rumple", "vert_cv", "top_rugosity",
                 "deepgap_fraction", "mean_max_canopy_ht", "max_canopy_ht", "cover_fraction")
 TERMS = ("nspp_native", "rumple", "entropy", "mean_max_canopy_ht")
-_FITTED: dict[tuple, object] = {}
 
 
-def mixed_table(i: Inputs) -> DataFrame:
+def mixed_table(i: Inputs, *more: str) -> DataFrame:
     """Model rows that have a time since change (which leaves the Alaskan sites out), written once."""
-    return remembered(i, "rows", lambda: stored(model_table(i).filter(F.col("days_since_change").isNotNull()).select(
-        "site", "plot_id", "year", "i_cat", "rer", "rel_cover_exotic", *TERMS), "mixed-rows"))
+    rows = model_table(i).filter(F.col("days_since_change").isNotNull())
+    return stored(rows.select("site", "plot_id", "year", "i_cat", "rer", "rel_cover_exotic", *TERMS, *more), "mixed-rows")
+
+
+def invasion_model(rows: DataFrame) -> MixedFit:
+    return saved_fit(rows, "invasion-model", lambda d: fit_mixed(d, "i_cat", TERMS))
+
+
+def rate_model(rows: DataFrame) -> ZeroInflatedFit:
+    return saved_fit(rows, "rate-model", lambda d: fit_zero_inflated_beta(d, "rer", TERMS, drop_ones=True))
+
+
+def impact_model(rows: DataFrame) -> ZeroInflatedFit:
+    return saved_fit(rows, "impact-model", lambda d: fit_zero_inflated_beta(d, "rel_cover_exotic", TERMS, drop_ones=True))
 
 
-def remembered(i: Inputs, name: str, build):
-    """One fit per session and data folder, shared by the queries that use it."""
-    key = (i.spark.sparkContext.applicationId, i.sf_dir, name)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
+#: Response and model of the two shares.
+SHARES = {"rer": rate_model, "rel_cover_exotic": impact_model}
 
 
-def invasion_model(i: Inputs) -> MixedFit:
-    return remembered(i, "mpi", lambda: fit_mixed(mixed_table(i), "i_cat", TERMS))
+def complete(rows: DataFrame, label: str) -> DataFrame:
+    """The rows that a model of `label` was fitted on."""
+    known = rows.dropna(subset=[label, *TERMS])
+    return known if label == "i_cat" else known.filter(F.col(label) < 1)
 
 
-def rate_model(i: Inputs) -> ZeroInflatedFit:
-    return remembered(i, "mir", lambda: fit_zero_inflated_beta(mixed_table(i), "rer", TERMS, drop_ones=True))
+def stacked(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query("gl1_pca_scores")
@@ -81,7 +95,7 @@ def gl2(i: Inputs) -> DataFrame:
 
 @query("gl3_nested_random_intercepts")
 def gl3(i: Inputs) -> DataFrame:
-    fit = invasion_model(i)
+    fit = invasion_model(mixed_table(i))
     return rounded(fit.with_fit(fit.coef_table().withColumns({"sigma_site": F.lit(fit.sigma_site), "sigma_plot": F.lit(fit.sigma_plot),
                                                               "loglik": F.lit(fit.loglik)})), 4, "estimate", "std_error", "statistic",
                    "p_value", "sigma_site", "sigma_plot", "loglik")
@@ -89,20 +103,36 @@ def gl3(i: Inputs) -> DataFrame:
 
 @query("gl4_beta_regression")
 def gl4(i: Inputs) -> DataFrame:
-    fit = rate_model(i).cond
-    return rounded(fit.with_fit(fit.coef_table().withColumn("phi", F.lit(fit.phi))), 4, "estimate", "std_error", "statistic", "p_value",
-                   "phi")
+    rows = mixed_table(i)
+    out = stacked(fit.with_fit(fit.cond.coef_table().withColumns({"response": F.lit(label), "phi": F.lit(fit.cond.phi)}))
+                  for label, fit in ((label, model(rows)) for label, model in SHARES.items()))
+    return rounded(out, 4, "estimate", "std_error", "statistic", "p_value", "phi")
 
 
-@query("gl5_zero_share", "SELECT site, round(avg(CASE WHEN rer = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_share FROM v_plot_year GROUP BY site")
+@query("gl5_zero_share", """
+SELECT site, round(avg(CASE WHEN rer IS NULL THEN NULL WHEN rer = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_share
+FROM v_plot_year GROUP BY site""")
 def gl5_share(i: Inputs) -> DataFrame:
     return i.plot_year.groupBy("site").agg(round_to(F.avg((F.col("rer") == 0).cast("double")), 6).alias("zero_share"))
 
 
 @query("gl5_zero_inflated_beta")
 def gl5(i: Inputs) -> DataFrame:
-    fit = rate_model(i)
-    return rounded(fit.coef_table().withColumn("n_ones_dropped", F.lit(fit.n_ones)), 4, "estimate", "std_error", "statistic", "p_value")
+    rows = mixed_table(i)
+    out = stacked(fit.with_fit(fit.coef_table()).withColumn("response", F.lit(label))
+                  for label, fit in ((label, model(rows)) for label, model in SHARES.items()))
+    return rounded(out, 4, "estimate", "std_error", "statistic", "p_value")
+
+
+@query("gl5_zero_part_covariates")
+def gl5_covariates(i: Inputs) -> DataFrame:
+    """The impact with predictors in both parts, scores of the structure metrics among them."""
+    scores, _ = pca(i.view("v_structure"), STRUCTURE_14, k=2, keys=["plot_id"])
+    scores = scores.select("plot_id", F.col("pc1").alias("pc1_order"), F.col("pc2").alias("pc2_sa_vol"))
+    rows = stored(left_join(mixed_table(i, "latitude", "mat"), scores, ["plot_id"]), "mixed-rows")
+    fit = saved_fit(rows, "impact-hurdle", lambda d: fit_zero_inflated_beta(
+        d, "rel_cover_exotic", ("pc1_order", "latitude"), ("latitude", "mat", "nspp_native", "pc2_sa_vol"), drop_ones=True))
+    return rounded(fit.with_fit(fit.coef_table()), 4, "estimate", "std_error", "statistic", "p_value")
 
 
 @query("gl6_wald_tests", _CELLS + """
@@ -123,6 +153,14 @@ def gl7(i: Inputs) -> DataFrame:
     return glm.test_table({"RANN": d.filter("label = 1").drop("label"), "RRNN": d.filter("label <> 1").drop("label")})
 
 
+@query("gl7_model_tests")
+def gl7_models(i: Inputs) -> DataFrame:
+    """Tests of the three fitted models in one table."""
+    rows = mixed_table(i)
+    tables = {"RANN": impact_model(rows).cond, "RRNN": rate_model(rows).cond, "P(I)": invasion_model(rows)}
+    return glm.test_table({name: glm.wald_tests(fit.coef_table()) for name, fit in tables.items()})
+
+
 TITLES = {"cond": "Invasion Rate, Conditional on Invasion", "zi": "Effect on Invasion"}
 
 
@@ -143,11 +181,28 @@ def gl8(i: Inputs) -> DataFrame:
     return rounded(glm.coefficient_intervals(d, TITLES), 6, "estimate", "conf_low", "conf_high")
 
 
+@query("gl8_model_intervals")
+def gl8_models(i: Inputs) -> DataFrame:
+    rows = mixed_table(i)
+    titles = {"rer": TITLES, "rel_cover_exotic": TITLES | {"cond": "Invasion Impact, Conditional on Invasion"}}
+    return rounded(stacked(glm.coefficient_intervals(model(rows).coef_table(), titles[label]).withColumn("response", F.lit(label))
+                           for label, model in SHARES.items()), 6, "estimate", "conf_low", "conf_high")
+
+
 @query("gl9_marginal_conditional_r2")
 def gl9(i: Inputs) -> DataFrame:
-    fit = invasion_model(i)
-    out = glm.r_squared(mixed_table(i), fit.coefs, fit.random_variance, fit.residual_variance())
-    return rounded(out, 4, "r2_marginal", "r2_conditional")
+    rows = mixed_table(i)
+    fit = invasion_model(rows)
+    parts = [glm.r_squared(complete(rows, "i_cat"), fit.coefs, fit.random_variance, fit.residual_variance()).withColumn("response", F.lit("i_cat"))]
+    parts += [model(rows).r_squared(complete(rows, label)).withColumn("response", F.lit(label)) for label, model in SHARES.items()]
+    return rounded(stacked(parts), 4, "r2_marginal", "r2_conditional")
+
+
+@query("gl10_model_overdispersion")
+def gl10_models(i: Inputs) -> DataFrame:
+    rows = mixed_table(i)
+    return rounded(stacked(model(rows).overdispersion(complete(rows, label), label).withColumn("response", F.lit(label))
+                           for label, model in SHARES.items()), 4, "pearson_chi2", "ratio")
 
 
 @query("gl10_overdispersion", """
@@ -162,30 +217,58 @@ def gl10(i: Inputs) -> DataFrame:
 
 @query("gl11_scaled_residuals")
 def gl11(i: Inputs) -> DataFrame:
-    fitted = invasion_model(i).predict(mixed_table(i).dropna()).withColumn("row_key", F.concat_ws("|", "plot_id", "year"))
+    rows = mixed_table(i)
+    fitted = invasion_model(rows).predict(complete(rows, "i_cat")).withColumn("row_key", F.concat_ws("|", "plot_id", "year"))
     out = glm.scaled_residuals(fitted, "row_key", "i_cat", "predicted")
     return out.select("plot_id", "year", round_to(F.col("scaled_residual"), 6).alias("scaled_residual"))
 
 
 @query("gl11_dispersion_test")
 def gl11_dispersion(i: Inputs) -> DataFrame:
-    fitted = invasion_model(i).predict(mixed_table(i).dropna()).withColumn("row_key", F.concat_ws("|", "plot_id", "year"))
+    rows = mixed_table(i)
+    fitted = invasion_model(rows).predict(complete(rows, "i_cat")).withColumn("row_key", F.concat_ws("|", "plot_id", "year"))
     return rounded(glm.dispersion_test(fitted, "row_key", "i_cat", "predicted"), 4, "dispersion", "p_value")
 
 
+@query("gl11_share_residuals")
+def gl11_shares(i: Inputs) -> DataFrame:
+    """Scaled residuals of both shares' models."""
+    rows = mixed_table(i)
+    parts = []
+    for label, model in SHARES.items():
+        fit = model(rows)
+        found = zero_beta_residuals(fit.parts(complete(rows, label)), ["plot_id", "year"], label, "p_zero", "mu", fit.cond.phi)
+        parts.append(found.withColumn("response", F.lit(label)))
+    return rounded(stacked(parts), 6, "scaled_residual")
+
+
+@query("gl11_share_dispersion")
+def gl11_share_dispersion(i: Inputs) -> DataFrame:
+    rows = mixed_table(i)
+    parts = []
+    for label, model in SHARES.items():
+        fit = model(rows)
+        found = zero_beta_dispersion(fit.parts(complete(rows, label)), ["plot_id", "year"], label, "p_zero", "mu", fit.cond.phi)
+        parts.append(found.withColumn("response", F.lit(label)))
+    return rounded(stacked(parts), 4, "dispersion", "p_value")
+
+
 @query("gl12_collinearity", """
 SELECT unnest(['rumple', 'gfp']) AS term, round(1 / (1 - pow(corr(rumple, gfp), 2)), 6) AS vif FROM v_structure""")
 def gl12(i: Inputs) -> DataFrame:
     return rounded(glm.collinearity(i.view("v_structure"), ["rumple", "gfp"]), 6, "vif")
 
 
+def model_curves(rows: DataFrame, label: str) -> DataFrame:
+    """Curve of every predictor from the fixed effects of the response's model."""
+    fit = invasion_model(rows) if label == "i_cat" else SHARES[label](rows).cond
+    return stacked(glm.effect_curve(complete(rows, label), t, fit.coefs, fit.covariance) for t in TERMS)
+
+
 @query("gl13_effect_curves")
 def gl13(i: Inputs) -> DataFrame:
-    fit, d = invasion_model(i), mixed_table(i)
-    curves = [glm.effect_curve(d, t, fit.coefs, fit.covariance) for t in TERMS]
-    out = curves[0]
-    for c in curves[1:]:
-        out = out.unionByName(c)
+    rows = mixed_table(i)
+    out = stacked(model_curves(rows, label).withColumn("response", F.lit(label)) for label in ("i_cat", *SHARES))
     return rounded(out, 5, "x", "predicted", "conf_low", "conf_high")
 
 
@@ -220,10 +303,30 @@ def gl14(i: Inputs) -> DataFrame:
                               for code, title in RESPONSE_TITLE.items()})
 
 
+@query("gl14_model_effects")
+def gl14_models(i: Inputs) -> DataFrame:
+    """Effects of the three fitted models, shares in percent."""
+    rows = mixed_table(i)
+    labels = {"pi": "i_cat", "ir": "rer", "ii": "rel_cover_exotic"}
+    out = glm.effects_frame({title: model_curves(rows, labels[code]) for code, title in RESPONSE_TITLE.items()})
+    return rounded(out, 5, "x", "predicted", "conf_low", "conf_high")
+
+
 @query("gl15_predict_new_data")
 def gl15(i: Inputs) -> DataFrame:
-    out = rate_model(i).predict(mixed_table(i).dropna())
-    return out.select("plot_id", "year", round_to(F.col("predicted"), 6).alias("predicted"))
+    rows = mixed_table(i)
+    fit = rate_model(rows)
+    out = fit.predict(rows.dropna(subset=list(TERMS)))
+    return out.select("plot_id", "year", round_to(F.col("predicted"), 6).alias("predicted"), F.lit(fit.n_ones).alias("n_ones_dropped"))
+
+
+@query("src7_load_saved_fit")
+def src7_fit(i: Inputs) -> DataFrame:
+    """Coefficients of a fit that is written and read again."""
+    rows = mixed_table(i)
+    path = scratch_path(i.spark, "fit")
+    save_fit(rate_model(rows), path)
+    return rounded(load_fit(i.spark, path).coef_table(), 6, "estimate", "std_error", "statistic", "p_value")
 
 
 @query("gl15_fixed_effect_prediction", """
