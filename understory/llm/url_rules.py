@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from understory.llm.text import pick, ready
 
-#: Key ranges per shuffle partition, and sampled keys per range.
+#: Key ranges per shuffle partition, the most key ranges, and the sampled keys that bound them.
 CELLS_PER_PARTITION = 4
-SAMPLES_PER_CELL = 32
+MAX_CELLS = 2048
+SAMPLES = 1 << 14
 #: Bytes of a sampled key that are kept as a range bound; any string is a valid bound.
 BOUND_BYTES = 256
 
@@ -55,7 +56,7 @@ def _distinct_rules(rules: DataFrame) -> DataFrame:
 def _bounds(keyed: DataFrame, cells: int) -> list[tuple[bytes, int]]:
     """Bounds of key ranges with about equal numbers of rows, from the keys of least hash; their number is fixed."""
     sample = (keyed.select(F.substring("key", 1, BOUND_BYTES).alias("key"), "tie").orderBy(F.xxhash64("tie"), "key")
-              .limit(cells * SAMPLES_PER_CELL))
+              .limit(SAMPLES))
     found = sorted((bytes(r.key), r.tie) for r in sample.collect())
     return [found[len(found) * j // cells] for j in range(1, cells)] if found else []
 
@@ -136,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     key = canonical_key(F.col("host"), F.col("path"), F.col("level"))
     keyed = urls.withColumns({"key": key, "tie": F.xxhash64("id", "host", "path", "part")})
 
-    cells = CELLS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(CELLS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CELLS)
     deal_urls, deal_rules = _assign(_bounds(keyed, cells))
     id_type = urls.schema["id"].dataType.simpleString()
     row = f"cell int, id {id_type}, host string, path string, part int, level int, first bigint, verdict string, is_url boolean"
