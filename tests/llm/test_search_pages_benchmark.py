@@ -143,3 +143,47 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert benchmark_hits(docs, bench).first().n_hit == 0 and benchmark_hits(docs.limit(0), bench).count() == 0
+
+
+def test_deep_inline_and_unclosed_markup():
+    lines = "".join(f"<font size=2>Item {k}, of a list that is long enough.<br>" for k in range(1500))
+    assert main_text(f"<body>{lines}</body>").count("Item") == 1500
+    deep = "<b><i>" * 900 + PARAGRAPH + "</i></b>" * 900
+    assert main_text(f"<body><p>{deep}</p></body>") == PARAGRAPH.strip()
+
+
+def test_closed_drawings_lose_nothing():
+    page = f"<body><div><p>{PARAGRAPH}</p><svg/><math /><p>Second. {PARAGRAPH}</p><svg><text>no</text></svg></div></body>"
+    assert main_text(page) == PARAGRAPH.strip() + "\nSecond. " + PARAGRAPH.strip()
+
+
+def test_a_form_around_the_page_is_no_form():
+    inner = f"<div id=content><p>{PARAGRAPH}</p><p>More. {PARAGRAPH}</p><p>{PARAGRAPH}</p></div>"
+    want = "\n".join([PARAGRAPH.strip(), "More. " + PARAGRAPH.strip(), PARAGRAPH.strip()])
+    for form in ("<form id='aspnetForm' action='x'>", "<form>"):
+        assert main_text(f"<body>{form}<input type=hidden name=state>{inner}<input type=submit></form></body>") == want
+    asked = "<form><label>Your name, please</label><input><label>Your message to us</label><textarea></textarea><button>Send</button></form>"
+    assert main_text(f"<body>{asked}{inner}</body>") == want
+    survey = "<form>" + "".join(f"<p>Question {k}, which you should answer?</p><input><input>" for k in range(40)) + "</form>"
+    assert "Question" not in main_text(f"<body>{survey}{inner}</body>")
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        main_text("<div>" * n + "</section>" * n + f"<p>{PARAGRAPH}</p>")
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 40 * max(took(2_000), 0.004)
+
+
+def test_broken_markup_never_raises():
+    rng = random.Random(8)
+    bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<b>", "<a href=x>", "</a>", "<form>", "</form>", "<table><tr><td>", "</table>", "<li>", "<svg/>", "<script>",
+            "</script>", "<", "&amp", "&#x41;", "text, more text. ", "<!--", "-->", "<header>", "<article>", "</article>", "<h1>", "<h2>", "<option>", "\x00", "<br/>", "</x>"]
+    for _ in range(400):
+        got = main_text("".join(rng.choices(bits, k=rng.randint(0, 120))))
+        assert got == got.strip() and "\n\n" not in got

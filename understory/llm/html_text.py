@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,10 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp
 small span strike strong sub sup time tt u var wbr""".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("head nav footer aside form button select option input menu dialog audio video canvas object embed map".split()) | RAW
+DROPPED = frozenset("head nav footer aside button select option input menu dialog audio video canvas object embed map".split()) | RAW
+#: A form with this much text outside its links, and this many characters a control, is a page that lies in a form.
+FORM_TEXT, FORM_TEXT_A_CONTROL = 500, 60
+CONTROLS = frozenset("input select textarea button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what isn't main text.
 ASIDE = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors
@@ -41,12 +45,14 @@ CLOSED_BY_OWN_KIND = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "chars", "link_chars", "names")
+    __slots__ = ("tag", "parent", "items", "dropped", "points", "chars", "link_chars", "names", "holder")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, names: frozenset = frozenset()):
         self.tag, self.parent, self.dropped, self.names = tag, parent, dropped, names
         self.items: list = []  # texts and nodes in page order
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        # the nearest ancestor that isn't inline
+        self.holder = parent if parent is None or parent.tag not in INLINE else parent.holder
 
 
 def _names(attributes: str) -> tuple[frozenset, bool]:
@@ -67,9 +73,11 @@ def _names(attributes: str) -> tuple[frozenset, bool]:
 
 
 def parse(page: str) -> Node:
-    """The page as a tree; unclosed and stray tags are put right as browsers do."""
+    """The page as a tree; unclosed and stray tags are put right as browsers do (what follows an unclosed script, style, title
+    or the like belongs to it)."""
     root = top = Node("html", None, False)
     at, n = 0, len(page)
+    opened, forms = Counter(), []  # open elements of each tag, so that a stray end tag costs nothing
 
     def text(piece: str) -> None:
         if piece:
@@ -77,14 +85,24 @@ def parse(page: str) -> Node:
 
     def close_to(tags: tuple, stop: tuple) -> None:
         """Close the nearest open element of tags unless one of stop is nearer."""
-        nonlocal top
+        if not any(opened[t] for t in tags):
+            return
         node = top
         while node is not None and node.tag not in stop:
             if node.tag in tags:
-                top = node.parent
+                close(node)
                 return
             node = node.parent
 
+    def close(node: Node) -> None:
+        """Close an open element and all within it."""
+        nonlocal top
+        while top is not node:
+            opened[top.tag] -= 1
+            top = top.parent
+        opened[node.tag] -= 1
+        top = node.parent
+
     while at < n:
         begin = page.find("<", at)
         if begin < 0:
@@ -103,11 +121,11 @@ def parse(page: str) -> Node:
                 text(m[0][9:-3])
             continue
         if m[1] or m[4]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if opened[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
             continue
         attributes = (m[3] if m[2] else m[6]) or ""
         if tag in ("html", "body"):
@@ -115,7 +133,7 @@ def parse(page: str) -> Node:
         if tag in CLOSES_P:
             close_to(("p",), ("table", "td", "th", "li", "article", "section", "div", "blockquote", "button", "html"))
             if tag[0] == "h" and tag[1:].isdigit() and top.tag[0] == "h" and top.tag[1:].isdigit():
-                top = top.parent
+                close(top)
         elif tag in CLOSED_BY_OWN_KIND:
             kinds, stop = CLOSED_BY_OWN_KIND[tag]
             for _ in range(2 if tag == "tr" else 1):
@@ -123,27 +141,58 @@ def parse(page: str) -> Node:
         names, off = _names(attributes) if attributes.strip() else (frozenset(), False)
         off |= tag in DROPPED
         if tag == "header":  # the heading of an article is its own; a page's header isn't
-            node = top
-            while node is not None and node.tag not in ("article", "main"):
-                node = node.parent
-            off |= node is None
+            off |= not (opened["article"] or opened["main"])
+        elif tag == "form":
+            off |= _is_aside(names - {"form"})
         elif tag not in ("article", "main") or names & {"comment", "comments", "reply"}:
             off |= _is_aside(names)
         child = Node(tag, top, top.dropped or off, names)
         top.items.append(child)
-        if tag in RAW:
+        closed = attributes.rstrip().endswith("/")
+        if tag in RAW and not (closed and tag in ("svg", "math")):
             end = re.compile(f"</{re.escape(tag)}[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+        elif tag not in VOID and tag not in RAW:  # a closing slash on an ordinary element means nothing
             top = child
-        elif tag not in VOID and tag not in ("svg", "math"):
-            top = child  # a closing slash on an ordinary element means nothing
+            opened[tag] += 1
+            if tag == "form":
+                forms.append(child)
+    for form in reversed(forms):
+        if not form.dropped and not _holds_page(form):
+            form.dropped = True
     return root
 
 
+def _holds_page(form: Node) -> bool:
+    """Whether a form is one around a page, by its text outside links and its controls."""
+    text = controls = 0
+    stack = [form]
+    while stack:
+        node = stack.pop()
+        for x in node.items:
+            if isinstance(x, str):
+                text += len(x.strip())
+            elif x.tag in CONTROLS:
+                controls += 1
+            elif not x.dropped and x.tag != "a":
+                stack.append(x)
+    return text >= FORM_TEXT and text >= FORM_TEXT_A_CONTROL * controls
+
+
 def _inline_text(node: Node) -> str:
     """Text of a node's inline content."""
-    return "".join(x if isinstance(x, str) else " " if x.tag == "br" else "" if x.dropped else _inline_text(x) for x in node.items)
+    out, stack = [], [iter(node.items)]
+    while stack:
+        x = next(stack[-1], None)
+        if x is None:
+            stack.pop()
+        elif isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append(" ")
+        elif not x.dropped:
+            stack.append(iter(x.items))
+    return "".join(out)
 
 
 def blocks(node: Node) -> list[str]:
@@ -258,13 +307,14 @@ def main_text(page: str | None) -> str:
         points = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - density)
         holder, share = (node.parent if node.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "figcaption")
                          else node), 1.0
-        depth = 0
-        while holder is not None and depth < 3:
-            if holder.tag not in INLINE:
-                holder.points += points * share
-                depth += 1
-                share = 1 / (2 * depth)
-            holder = holder.parent
+        if holder is not None and holder.tag in INLINE:
+            holder = holder.holder
+        for depth in (1, 2, 3):
+            if holder is None:
+                break
+            holder.points += points * share
+            share = 1 / (2 * depth)
+            holder = holder.holder
     best, top = None, 0.0
     for node in order:
         if node.points > 0 and node.tag not in INLINE:
