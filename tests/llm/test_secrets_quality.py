@@ -1,5 +1,6 @@
 """Secret scans against plain regular expressions, guess costs, and the quality classifier."""
 
+import math
 import random
 import re
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from understory.llm.quality import BUCKETS, WIDTH, FactorisationMachine, features, learn, score_quality
-from understory.llm.secrets import Guesser, find_secrets, redact, scan_secrets
+from understory.llm.secrets import Guesser, find_secrets, frequent_words, redact, scan_secrets
 
 SCHEMA = "doc_id bigint, text string, spans int, id int, score string"
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -104,3 +105,65 @@ def test_scores_of_odd_rows(spark):
     out = score_quality(df, one)
     assert all(0 <= r.score <= 1 for r in out.collect()) and out.columns == ["doc_id", "text", "spans", "id", "score"]
     assert score_quality(df.limit(0), one).count() == 0
+
+
+def cheapest_cut(g, value):
+    """The least cost over all segmentations, each segment by the plain rule of its kind."""
+    from functools import cache
+
+    from understory.llm import secrets as module
+
+    brute, low = g.per_sign(value), value.lower()
+
+    def segment(i, j):
+        part, small, costs = value[i:j], low[i:j], [brute] if j - i == 1 else []
+        if len(part) >= 3 and small in g.rank:
+            capital = 0.0 if part == small else math.log10(2) if part[1:] == small[1:] else math.log10(len(part) + 2)
+            costs.append(g.rank[small] + capital)
+        if module._DATE.fullmatch(part):
+            costs.append(module._LOG_DATE)
+        if module._YEAR.fullmatch(part):
+            costs.append(module._LOG_YEAR)
+        if len(part) >= 3 and all(p in g.pairs for p in zip(small, small[1:])):
+            costs.append(math.log10(94 * 4 * len(part)))
+        for unit in range(1, 9):
+            if len(part) >= max(3, 2 * unit) and len(part) % unit == 0 and part == part[:unit] * (len(part) // unit):
+                costs.append(unit * brute + math.log10(len(part) // unit))
+        return min(costs, default=math.inf)
+
+    @cache
+    def best(i):
+        return 0.0 if i == len(value) else min(segment(i, j) + best(j) for j in range(i + 1, len(value) + 1))
+
+    return best(0)
+
+
+def test_cost_is_the_minimum_over_all_cuts():
+    rng, g = random.Random(3), Guesser()
+    pieces = ["null", "kjhgf", "qwerty", "abc", "aaa", "xyxyxy", "123", "121", "1999", "Pass", "word", "PASSWORD", "z", "!", "7", "q", "poiu", "test", "ab", "ba"]
+    values = ["nullkjhgf"] + ["".join(rng.choices(pieces, k=rng.randint(1, 4)))[:14] for _ in range(300)]
+    values += ["".join(rng.choices("abcaqwe12", k=rng.randint(3, 12))) for _ in range(300)]
+    for v in values:
+        assert g.cost(v) == pytest.approx(cheapest_cut(g, v)), v
+    assert g.cost("nullkjhgf") == pytest.approx(4.65, abs=0.01)
+    assert g.cost("-" * 5000) < 6 and g.cost("12" * 4000) < 8  # long runs stay one segment
+
+
+PROSE = ["Authorization: required for all visitors", "credentials: including letters", "auth: negotiated between both sides"]
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = [f"It is required that letters, including those negotiated here, be kept. {k}" for k in range(30)]
+    rows = [(k, t) for k, t in enumerate(prose + PROSE)] + [(90, "auth: xK9qLm2vRtP0"), (91, None), (92, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: [s.kind for s in r.spans] for r in scan_secrets(df).collect()}
+    assert all(not got[k] for k in range(33)) and got[90] == ["guess"]
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert [clean[30 + k] for k in range(3)] == PROSE and clean[90] == "auth: [SECRET]" and clean[91] is None
+
+
+def test_frequent_words_count_all_texts(spark, monkeypatch):
+    monkeypatch.setattr("understory.llm.secrets._FLUSH", 3)
+    df = spark.createDataFrame([("Alpha beta alpha2 gamma_x",), ("beta BETA delta",), (None,), ("abc \u00e9tat",)], "text string").repartition(3)
+    assert frequent_words(df) == ("beta", "alpha", "delta", "gamma") and frequent_words(df, size=1) == ("beta",)
+    assert frequent_words(df.limit(0)) == ()
