@@ -214,3 +214,34 @@ def test_special_functions(spark):
     r = spark.range(1).select(bernoulli_loglik(F.lit(1.0), F.lit(-800.0)).alias("b"),
                               beta_loglik(F.lit(0.3), F.lit(0.5), F.lit(2.0)).alias("u")).first()
     assert r.b == pytest.approx(-800.0) and r.u == pytest.approx(0.0, abs=1e-10)  # uniform density
+
+
+def test_buckets_of_a_long_tail_are_even(spark):
+    from understory.operators.ordering import even_buckets, exact_quantiles, rank_average
+
+    rng = np.random.default_rng(7)
+    x = np.exp(rng.normal(0, 4, 20_000))  # lognormal: nearly all values in one of 256 equal widths
+    x[-200:] = -x[-200:]
+    pdf = pd.DataFrame({"g": ["hot"] * 19_000 + ["cold"] * 1_000, "x": x})
+    df = spark.createDataFrame(pdf)
+    for keys in (["g"], []):
+        cells = even_buckets(df, keys, "x", "b").toPandas()
+        for _, part in cells.groupby("g") if keys else [("", cells)]:
+            assert part.b.between(0, 255).all() and part.b.value_counts(normalize=True).max() <= 0.02
+            ordered = part.sort_values("x")
+            assert ordered.b.is_monotonic_increasing
+    got = {r.g: (r.a, r.b) for r in exact_quantiles(df, ["g"], "x", {"a": 0.5, "b": 0.99}).collect()}
+    ranks = rank_average(df, ["g"], "x").toPandas()
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got[g], np.quantile(part.x, [0.5, 0.99]))
+        mine = ranks[ranks.g == g]
+        assert np.allclose(mine["rank"], mine.x.rank())
+
+
+def test_buckets_of_few_and_missing_values(spark):
+    from understory.operators.ordering import exact_quantiles, ordered_counts
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), (None, 3), (None, 5)], "g string, x int")
+    got = {(r.g, r.x): (r.n, r.before, r.total, r.d_before, r.d_total) for r in ordered_counts(df, ["g"], "x").collect()}
+    assert got == {("a", 1): (2, 0, 2, 0, 1), (None, 3): (1, 0, 2, 0, 2), (None, 5): (1, 1, 2, 1, 2)}
+    assert {r.g: r.q for r in exact_quantiles(df, ["g"], "x", {"q": 0.5}).collect()} == {"a": 1.0, None: 4.0}

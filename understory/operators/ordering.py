@@ -1,9 +1,10 @@
 """Order statistics that hold when one group has a large share of all rows.
 
 A window over a hot key sorts that key in a single task. Here equal values are
-counted first (map-side), the distinct values are spread over fixed buckets
-between the group's minimum and maximum, and only bucket totals, at most
-BUCKETS per group, go through a per-group running sum.
+counted first (map-side), the distinct values are spread over buckets of about
+equal numbers of values, bounded by a mergeable quantile sketch of each group,
+and only bucket totals, at most BUCKETS per group, go through a per-group
+running sum. The sketch shapes the buckets only; all results are exact.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 256  # a square number
+SKETCH_ACCURACY = 5000
 HASH_DIGITS = 3
 
 
@@ -53,11 +55,7 @@ def positions_of_counts(cnt: DataFrame, keys: Sequence[str], value: str) -> Data
     """Positions for a frame that already holds one row per group and value, with its count `n`."""
     keys = list(keys)
     extra = [c for c in cnt.columns if c not in {*keys, value, "n"}]
-    span = cnt.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bucket = F.when(F.col("_hi") > F.col("_lo"),
-                    F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-    cells = join_back(cnt, span, keys).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
+    cells = even_buckets(cnt, keys, value, "_b")
 
     per_group = W.partitionBy(*(keys or [F.lit(0)]))
     running = per_group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -77,6 +75,26 @@ def positions_of_counts(cnt: DataFrame, keys: Sequence[str], value: str) -> Data
                       (F.col("_doff") + F.col("_dloc")).alias("d_before"), "d_total")
 
 
+def even_buckets(values: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Number rows by which of BUCKETS value ranges they lie in; a group's ranges hold about equally many rows each.
+
+    Ranges follow the order of values, and equal values share one. The place among a group's bounds is found in two
+    steps, first among each sixteenth bound, then among those that follow it.
+    """
+    step = int(BUCKETS**0.5)
+    probs = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = values.groupBy(*keys).agg(F.percentile_approx(value, probs, SKETCH_ACCURACY).alias("_cut"))
+
+    def smaller(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: b < F.col(value)))
+
+    every = F.transform(F.sequence(F.lit(step), F.lit(BUCKETS - 1), F.lit(step)), lambda k: F.element_at("_cut", k))
+    found = join_back(values, cuts, keys).withColumn("_coarse", smaller(every))
+    fine = smaller(F.slice("_cut", F.col("_coarse") * step + 1, F.lit(step - 1)))
+    place = F.coalesce(F.col("_coarse") * step + fine, F.lit(0)).cast("int")
+    return found.withColumn(out, place).drop("_cut", "_coarse")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Mapping[str, float]) -> DataFrame:
     """Interpolated (type 7) quantiles per group, one output column per entry of `probs`."""
