@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from understory.llm.text import text_runs
 
 #: A store of more pieces than this is started afresh; it bounds a worker's memory only.
-MAX_PIECES = 250_000
+MAX_PIECES = 600_000
 #: Longer pieces are encoded anew each time.
 MAX_STORED_CHARS = 48
 
@@ -78,8 +78,12 @@ class Encoder:
     def _model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that are normalised and split already."""
         ids, letters, tokenize, marks = [], self.letters, self.tokenizer.model.tokenize, self.marks
+        marked = self.kind == "bytes"  # only there do pieces hold marks
         for p in pieces:
-            p = p.translate(marks) if p.isascii() else "".join([letters[b] for b in p.translate(_BACK).encode()])
+            if not p.isascii():
+                p = "".join([letters[b] for b in (p.translate(_BACK) if marked else p).encode()])
+            elif marked:
+                p = p.translate(marks)
             ids.append([t.id for t in tokenize(p)])
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
