@@ -54,9 +54,11 @@ def _distinct_rules(rules: DataFrame) -> DataFrame:
 
 
 def _bounds(keyed: DataFrame, cells: int) -> list[tuple[bytes, int]]:
-    """Bounds of key ranges with about equal numbers of rows, from the keys of least hash; their number is fixed."""
-    sample = (keyed.select(F.substring("key", 1, BOUND_BYTES).alias("key"), "tie").orderBy(F.xxhash64("tie"), "key")
-              .limit(SAMPLES))
+    """Bounds of key ranges with about equal numbers of rows, from a hashed sample of about SAMPLES keys at any size."""
+    total = keyed.count()
+    share = min(1.0, SAMPLES / total) if total else 0.0
+    drawn = F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
+    sample = keyed.select(F.substring("key", 1, BOUND_BYTES).alias("key"), "tie").filter(drawn)
     found = sorted((bytes(r.key), r.tie) for r in sample.collect())
     return [found[len(found) * j // cells] for j in range(1, cells)] if found else []
 
@@ -117,7 +119,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
 
     A path rule also holds for subdomains, so it isn't one interval of whole keys; each URL therefore has a key at each
     number of labels that some rule's host has (their number is bounded by the rules, not by the pages). Keys are dealt by
-    sampled bounds into ranges, a key with many rows over several; a rule goes to the ranges that its interval meets. Each
+    sampled bounds into ranges, a key with many rows over several (bounds have a hash of the row's place behind the key); a rule goes to the ranges that its interval meets. Each
     range is sorted by Spark and swept with a stack of open rules; the longest of a row's rules is an aggregate.
 
     A NULL or malformed URL has empty host and path. Repeated rows and NULL ids are rows like any others. Other columns are
@@ -128,14 +130,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     kept = _distinct_rules(rules)
     levels = sorted(r[0] for r in kept.select("level").distinct().collect())
     host, path = url_parts(F.coalesce("url", F.lit("")))
-    found = pick(pages, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"), F.spark_partition_id().alias("part"))
+    found = pick(pages, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"), F.spark_partition_id().alias("part"),
+                                                         F.monotonically_increasing_id().alias("row"))
     usable = F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: k <= label_count(F.col("host")))
     urls = (found.withColumn("levels", F.when(F.size(usable) > 0, usable).otherwise(F.array(F.lit(0))))
-            .select("id", "host", "path", "part", F.posexplode("levels").alias("place", "level"))
-            .select("id", "host", "path", "part", "level", (F.col("place") == 0).cast("bigint").alias("first"),
+            .select("id", "host", "path", "part", "row", F.posexplode("levels").alias("place", "level"))
+            .select("id", "host", "path", "part", "row", "level", (F.col("place") == 0).cast("bigint").alias("first"),
                     F.lit(None).cast("string").alias("verdict"), F.lit(True).alias("is_url")))
     key = canonical_key(F.col("host"), F.col("path"), F.col("level"))
-    keyed = urls.withColumns({"key": key, "tie": F.xxhash64("id", "host", "path", "part")})
+    keyed = urls.withColumns({"key": key, "tie": F.xxhash64("row", "level")}).drop("row")
 
     cells = min(CELLS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CELLS)
     deal_urls, deal_rules = _assign(_bounds(keyed, cells))
