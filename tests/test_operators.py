@@ -245,3 +245,27 @@ def test_buckets_of_few_and_missing_values(spark):
     got = {(r.g, r.x): (r.n, r.before, r.total, r.d_before, r.d_total) for r in ordered_counts(df, ["g"], "x").collect()}
     assert got == {("a", 1): (2, 0, 2, 0, 1), (None, 3): (1, 0, 2, 0, 2), (None, 5): (1, 1, 2, 1, 2)}
     assert {r.g: r.q for r in exact_quantiles(df, ["g"], "x", {"q": 0.5}).collect()} == {"a": 1.0, None: 4.0}
+
+
+@pytest.mark.parametrize("span", [0.1, 0.5, 1.5])
+def test_loess_as_plain_weighted_least_squares(spark, span):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.round(np.exp(rng.normal(0, 1, 500)), 2), rng.uniform(0, 3, 300)])  # ties, a long tail, many blocks
+    y = np.sin(x) + rng.normal(0, 0.1, 800)
+    pdf = pd.DataFrame({"g": "a", "x": x, "y": y})
+    few = pd.DataFrame({"g": None, "x": [1.0, 2.0, 2.0, 4.0, 5.0], "y": [1.0, 2.0, 3.0, 1.0, 0.0]})
+    d = spark.createDataFrame(pd.concat([pdf, few]), "g string, x double, y double")
+    got = {(r.g, r.idx): (r.x, r.fit) for r in loess(d, ["g"], "x", "y", span=span, points=9).collect()}
+    for g, part in (("a", pdf), (None, few)):
+        xs, ys, n = part.x.to_numpy(), part.y.to_numpy(), len(part)
+        for k, x0 in enumerate(np.linspace(xs.min(), xs.max(), 9)):
+            dist = np.abs(xs - x0)
+            h = np.sort(dist)[min(max(int(span * n + 1e-5), 1), n) - 1] * max(1.0, span)
+            w = np.where(dist < h, (1 - (dist / h) ** 3) ** 3, 0.0) if h > 0 else np.zeros(n)
+            t = (xs - x0) / h if h > 0 else xs
+            m = [(w * t**j).sum() for j in range(5)]
+            full = np.array([[m[0], m[1], m[2]], [m[1], m[2], m[3]], [m[2], m[3], m[4]]])
+            if w.sum() == 0:
+                assert (g, k) not in got
+            elif abs(np.linalg.det(full)) > m[0] ** 3 * 1e-9:
+                assert got[g, k] == (pytest.approx(x0), pytest.approx(np.linalg.solve(full, [(w * ys * t**j).sum() for j in range(3)])[0], rel=1e-6, abs=1e-7))
