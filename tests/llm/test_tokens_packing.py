@@ -108,3 +108,18 @@ def test_documents_without_ids_and_empty_table(spark):
     assert pack(frame(spark, ["x"]).limit(0), path, end_id=2).count() == 0
     with pytest.raises(ValueError):
         pack(frame(spark, ["x"]), path, Limits(0, 1, 1))
+
+
+@pytest.mark.parametrize("kind", ["smallint", "double", "date", "decimal(10,2)", "binary"])
+def test_ids_of_any_type(spark, kind):
+    from pyspark.sql import functions as F
+
+    from understory.llm.chat import format_chats
+    from understory.llm.packing import Limits, pack
+
+    value = F.lit("2024-05-06").cast("date") if kind == "date" else F.lit("7").cast(kind)
+    df = spark.createDataFrame([("user", "hello there", 1), ("assistant", "well", 2)], "role string, text string, turn bigint").withColumn("k", value)
+    pieces = pack(df, public_tokenizers.path("word_bpe_49k.json"), Limits(64, 8, 64), 2, id_col="k")
+    assert pieces.schema["id"].dataType == df.schema["k"].dataType and pieces.count() >= 2
+    chats = format_chats(df, conv_col="k")
+    assert chats.schema["conv_id"].dataType == df.schema["k"].dataType and chats.count() == 3

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from understory.llm.text import quoted, ready
 from understory.session import stored
@@ -161,8 +162,8 @@ def format_chats(turns: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
     """
     spark = turns.sparkSession
     ready(spark)
-    id_type = next(f.dataType.simpleString() for f in turns.schema.fields if f.name == conv_col)
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_kind = next(f.dataType for f in turns.schema.fields if f.name == conv_col)
+    id_type, arrow_id = id_kind.simpleString(), to_arrow_type(id_kind)
     repair = Repair(costs)
     rows = turns.select(quoted(conv_col).alias("conv_id"), quoted(turn_col).cast("bigint").alias("turn"), quoted(role_col).alias("role"),
                         quoted(text_col).alias("text"), F.monotonically_increasing_id().alias("_place"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from understory.llm.text import quoted, ready
 from understory.llm.tokens import encoded_runs
@@ -131,7 +132,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     if min(limits.tokens, limits.segments, limits.loss_tokens) < 1:
         raise ValueError("limits must be positive")
     ready(docs.sparkSession)
-    id_type = next(f.dataType.simpleString() for f in docs.schema.fields if f.name == id_col)
+    id_kind = next(f.dataType for f in docs.schema.fields if f.name == id_col)
+    id_type, arrow_id = id_kind.simpleString(), to_arrow_type(id_kind)
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"),
                        F.greatest(F.coalesce((loss_start if loss_start is not None else F.lit(0)).cast("bigint"), F.lit(0)),
                                   F.lit(0)).alias("loss_start"))
@@ -176,8 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
         def take(self):
             columns = list(zip(*self.rows)) or [()] * 8
             self.rows, self.bytes = [], 0
-            kinds = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            kinds[0] = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+            kinds = [arrow_id, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
                                               names=["id", "start", "length", "ids", "loss_tokens", "doc_tokens", "sequence_id", "offset"])
 
