@@ -269,3 +269,20 @@ def test_loess_as_plain_weighted_least_squares(spark, span):
                 assert (g, k) not in got
             elif abs(np.linalg.det(full)) > m[0] ** 3 * 1e-9:
                 assert got[g, k] == (pytest.approx(x0), pytest.approx(np.linalg.solve(full, [(w * ys * t**j).sum() for j in range(3)])[0], rel=1e-6, abs=1e-7))
+
+
+def test_tiled_raster_reads_touched_tiles_only(spark, tmp_path):
+    from understory.operators.spatial import GridTransform, sample_raster, sample_tiles, tile_raster
+
+    grid = GridTransform(x0=0.0, y0=64.0, dx=1.0, dy=1.0)
+    cells = spark.range(64 * 64).selectExpr("CAST(id DIV 64 AS INT) AS cell_row", "CAST(id % 64 AS INT) AS cell_col",
+                                            "explode(array('map', 'mat')) AS layer", "CAST(id AS DOUBLE) AS value")
+    points = spark.createDataFrame([("a", 1.5, 62.5), ("b", 3.2, 60.1), ("out", -5.0, 60.0), ("far", 500.0, 3.0), ("gap", None, 60.0), ("a2", 1.5, 62.5)],
+                                   "plot_id string, longitude double, latitude double")
+    tiles = tile_raster(cells, f"file://{tmp_path}/tiles", ("map", "mat"), side=8)
+    out = sample_tiles(points, tiles, grid, ("map", "mat"), side=8)
+    got = {r.plot_id: (r["map"], r.mat) for r in out.collect()}
+    assert got == {"a": (65.0, 65.0), "a2": (65.0, 65.0), "b": (195.0, 195.0), "out": (None, None), "far": (None, None), "gap": (None, None)}
+    assert got == {r.plot_id: (r["map"], r.mat) for r in sample_raster(points, cells, grid, ("map", "mat")).collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()

@@ -95,11 +95,44 @@ def wide_cells(cells: DataFrame, layers: Sequence[str]) -> DataFrame:
 def sample_raster(points: DataFrame, cells: DataFrame, grid: GridTransform,
                   layers: Sequence[str] = ("map", "mat", "tmax", "tmin"),
                   lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Layer values of the cell containing each point; NULL outside the grid or without data."""
+    """Layer values of the cell containing each point; NULL outside the grid or without data.
+
+    The long grid is cut to the touched cells before its layers are brought side by side, so only those are shuffled.
+    """
+    placed, touched = _placed(points, grid, lon, lat)
+    near = cells.filter(F.col("layer").isin(list(layers))).join(broadcast_if_small(touched), list(CELL_KEY), "left_semi")
+    return placed.join(wide_cells(near, layers), list(CELL_KEY), "left").drop(*CELL_KEY)
+
+
+CELL_KEY = ("cell_row", "cell_col")
+TILE_KEY = ("tile_row", "tile_col")
+TILE_CELLS = 64  # cells of a tile's side
+
+
+def _placed(points: DataFrame, grid: GridTransform, lon: str, lat: str) -> tuple[DataFrame, DataFrame]:
+    """Points with their cell, and the cells that have a point (rows and columns before the first are outside)."""
     row, col = grid.cell_of(F.col(lon), F.col(lat))
     placed = points.withColumns({"cell_row": row, "cell_col": col})
-    wide = wide_cells(cells.filter(F.col("layer").isin(list(layers))), layers)
-    return placed.join(wide, ["cell_row", "cell_col"], "left").drop("cell_row", "cell_col")
+    return placed, placed.select(*CELL_KEY).filter("cell_row >= 0 AND cell_col >= 0").distinct()
+
+
+def _with_tile(cells: DataFrame, side: int) -> DataFrame:
+    return cells.withColumns({t: F.floor(F.col(c) / side).cast("int") for t, c in zip(TILE_KEY, CELL_KEY)})
+
+
+def tile_raster(cells: DataFrame, path: str, layers: Sequence[str] = ("map", "mat", "tmax", "tmin"), side: int = TILE_CELLS) -> DataFrame:
+    """Write a long grid once as cells with a column per layer, in folders of square tiles."""
+    wide = _with_tile(wide_cells(cells.filter(F.col("layer").isin(list(layers))), layers), side)
+    wide.repartition(*TILE_KEY).write.partitionBy(*TILE_KEY).parquet(path)
+    return cells.sparkSession.read.schema(wide.schema).parquet(path)
+
+
+def sample_tiles(points: DataFrame, tiles: DataFrame, grid: GridTransform, layers: Sequence[str] = ("map", "mat", "tmax", "tmin"),
+                 lon: str = "longitude", lat: str = "latitude", side: int = TILE_CELLS) -> DataFrame:
+    """`sample_raster` on a tiled grid: only the tiles in which a point lies are read (their folders are pruned at run time)."""
+    placed, touched = _placed(points, grid, lon, lat)
+    near = tiles.join(broadcast_if_small(_with_tile(touched, side)), [*TILE_KEY, *CELL_KEY], "left_semi").select(*CELL_KEY, *layers)
+    return placed.join(near, list(CELL_KEY), "left").drop(*CELL_KEY)
 
 
 def sample_raster_360(points: DataFrame, cells: DataFrame, grid: GridTransform,

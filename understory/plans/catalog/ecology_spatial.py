@@ -11,14 +11,14 @@ from understory.operators import structure as st
 from understory.operators.diversity import (attach_structure, beta_diversity, diversity_metrics, site_plot_summaries,
                                             taxon_cover, time_since_change)
 from understory.operators.figstats import boxplot_outliers, boxplot_stats, loess
-from understory.operators.spatial import (GridTransform, clip_key, crop, sample_raster, sample_raster_360,
+from understory.operators.spatial import (GridTransform, clip_key, crop, sample_raster, sample_raster_360, sample_tiles, tile_raster,
                                           tiles_for, with_utm)
 from understory.operators.verbs import align_to_first_rep
 from understory.plans.catalog.aggregates import rounded
 from understory.plans.fixtures import Inputs
 from understory.plans.model_table import build_model_table
 from understory.plans.registry import query
-from understory.session import stored
+from understory.session import scratch_path, stored
 
 GRID = GridTransform(x0=-150.0, y0=65.0, dx=2.0, dy=1.0)
 GRID_360 = GridTransform(x0=210.0, y0=65.0, dx=2.0, dy=1.0)
@@ -224,6 +224,12 @@ def sp5(i: Inputs) -> DataFrame:
     return out.select("plot_id", "latitude", "longitude", *LAYERS)
 
 
+@query("sp5_tiled_raster_sample", SAMPLE_SQL)
+def sp5_tiled(i: Inputs) -> DataFrame:
+    tiles = tile_raster(i.view("v_raster"), scratch_path(i.spark, "raster"), LAYERS, side=8)
+    return sample_tiles(i.view("v_centroids"), tiles, GRID, LAYERS, side=8).select("plot_id", "latitude", "longitude", *LAYERS)
+
+
 @query("sp6_raster_sample_360", SAMPLE_SQL.replace("(c.longitude + 150.0) / 2", "(c.longitude + 360 - 210.0) / 2"))
 def sp6(i: Inputs) -> DataFrame:
     out = sample_raster_360(i.view("v_centroids"), i.view("v_raster"), GRID_360)
