@@ -70,12 +70,17 @@ class Curve:
 
 
 def candidates(low: np.ndarray, high: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Numbers of the centroids that can be nearest to some vector of the box: those whose least distance to the box isn't
-    above the smallest of all greatest distances."""
-    below, above = low - centroids, centroids - high
-    least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(1)
-    most = (np.maximum(centroids - low, high - centroids) ** 2).sum(1)
-    return np.flatnonzero(least <= most.min())
+    """Numbers of the centroids that can be nearest to some vector of the box.
+
+    A centroid is out if all of the box is nearer to the one that is nearest to its middle. The difference of the two squared
+    distances is linear in the vector, so its least value in the box is found exactly, component by component.
+    """
+    middle = low + high  # of a box twice as large
+    nearest_to_middle = ((2 * centroids - middle) ** 2).sum(1).argmin()
+    apart = centroids - centroids[nearest_to_middle]
+    norms = (centroids * centroids).sum(1)
+    least = norms - norms[nearest_to_middle] - 2 * np.maximum(apart * low, apart * high).sum(1)
+    return np.flatnonzero(least <= 0)
 
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
