@@ -144,3 +144,25 @@ def test_gradient_is_the_slope_of_the_laplace_likelihood(nested):
         found, _ = prob.totals([theta + n for n in near], prob.plot_sums(theta, state, near))
         slope = [(found[2 * i]["value"] - found[2 * i + 1]["value"]) / 2e-3 for i in range(m)]
         assert np.allclose(at["grad"], slope, rtol=0.01, atol=0.05), family
+
+
+def test_plots_are_not_shuffled_and_frequent_ones_have_many_runs(nested, monkeypatch):
+    from understory.operators import mixed
+
+    few = nested.filter("site IN ('s0', 's1', 's2')")
+    theta = np.array([-0.3, 0.5, -0.4, -0.9, 2.2])
+    found = []
+    for rows in (4096, 3):
+        monkeypatch.setattr(mixed, "RUN_ROWS", rows)
+        prob = mixed._Problem(few, "b", ["x"], "site", "plot_id", "beta")
+        whole, large = prob.runs
+        assert (large is None) == (rows == 4096)
+        if large is None:
+            assert whole.count() == few.select("site", "plot_id").distinct().count()  # one row a plot, however its rows came
+        at, state = prob.settle(theta)
+        plan = prob.plot_sums(theta, state, [0 * theta])._jdf.queryExecution().executedPlan().toString()
+        assert ("hashpartitioning(_p" in plan or "hashpartitioning(_s" in plan) == (large is not None)
+        effects = sorted((*r,) for frame in state[:2] if frame is not None for r in frame.select("_s", "_p", "_u", "_v").collect())
+        found.append((at["value"], at["grad"], prob.hessian(theta, state), [e[2:] for e in effects], [e[:2] for e in effects]))
+    (v1, g1, h1, e1, k1), (v2, g2, h2, e2, k2) = found
+    assert v1 == pytest.approx(v2) and np.allclose(g1, g2) and np.allclose(h1, h2) and np.allclose(e1, e2) and k1 == k2
