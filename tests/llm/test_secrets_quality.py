@@ -167,3 +167,23 @@ def test_frequent_words_count_all_texts(spark, monkeypatch):
     df = spark.createDataFrame([("Alpha beta alpha2 gamma_x gamma",), ("beta BETA delta alpha",), (None,), ("abc abc \u00e9tat \u00e9tat",)], "text string").repartition(3)
     assert frequent_words(df) == ("beta", "alpha", "gamma") and frequent_words(df, size=2) == ("beta",) and frequent_words(df, size=0) == ()
     assert frequent_words(df.limit(0)) == ()
+
+
+def test_cost_has_the_same_rules_at_any_length():
+    guesser, piece = Guesser(), "$passwordfghjklove$"  # the walk fghj lies within its run, as the words take d, k and l
+    for times in (10, 300):  # 300: 5,700 signs
+        assert guesser.cost(piece * times) == pytest.approx(guesser.cost(piece) * times)
+    guesser, rng = Guesser(words=()), random.Random(5)
+    for _ in range(200):  # all pieces of a run, tried one by one
+        value = "".join(rng.choice("ab1") for _ in range(rng.randint(1, 40))) + "qwertyuiop"[:rng.randint(0, 10)]
+        brute, n = guesser.per_sign(value), len(value)
+        best = [0.0] + [math.inf] * n
+        for i in range(n):
+            best[i + 1] = min(best[i + 1], best[i] + brute)
+            for j in range(i + 3, n + 1):
+                if all(pair in guesser.pairs for pair in zip(value[i:j], value[i + 1:j])):
+                    best[j] = min(best[j], best[i] + math.log10(94 * 4 * (j - i)))
+                for unit in range(1, 9):
+                    if (j - i) % unit == 0 and j - i >= 2 * unit and value[i:j - unit] == value[i + unit:j]:
+                        best[j] = min(best[j], best[i] + unit * brute + math.log10((j - i) // unit))
+        assert guesser.cost(value) == pytest.approx(best[n])

@@ -38,9 +38,6 @@ _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _LOG_DATE, _LOG_YEAR = math.log10(365 * 100), math.log10(100)
 _MAX_UNIT = 8
-#: Walks and repeats up to this many signs may start and end anywhere (in values of up to _FREE_VALUE signs); longer ones
-#: start or end where their run does.
-_FREE_SIGNS, _FREE_VALUE = 256, 4096
 #: Distinct words of the documents, the most frequent first, that a guesser knows besides the common ones.
 LEARNT_WORDS = 50_000
 _WORD = re.compile(r"(?<![^\W_])[a-z]{4,20}(?![^\W_])")
@@ -55,6 +52,39 @@ def _neighbours() -> set[tuple[str, str]]:
     return pairs | {(b, a) for a, b in pairs}
 
 
+class _Starts:
+    """Starts of pieces within one run, of which the cheapest for an end is known without trying them all.
+
+    A piece costs by the logarithm of its length: of two starts the later one can only be ahead at first, and the earlier
+    one stays ahead once it is. The stack holds starts that are ahead at some end to come, the first of them on top.
+    """
+
+    def __init__(self, end: int, price):
+        self.end, self.price, self.stack = end, price, []
+
+    def _at(self, start: tuple[int, float], j: int) -> float:
+        return start[1] + self.price(j - start[0])
+
+    @staticmethod
+    def _ahead_from(early: tuple[int, float], late: tuple[int, float]) -> float:
+        """End from which the earlier (and cheaper) start is ahead of the later one."""
+        lead = late[1] - early[1]
+        return late[0] + (late[0] - early[0]) / (math.expm1(min(lead, 300.0) * math.log(10)) or math.ulp(0.0))
+
+    def least(self, i: int, cost: float, j: int) -> float:
+        """Add start i, reached at `cost`; the least cost of a piece that ends at j. Calls come by ascending i and j."""
+        stack, new = self.stack, (i, cost)
+        while stack and stack[-1][1] >= cost:
+            stack.pop()
+        while len(stack) > 1 and self._at(stack[-2], j) <= self._at(stack[-1], j):
+            stack.pop()
+        if not stack or self._at(new, j) < self._at(stack[-1], j):
+            while len(stack) > 1 and self._ahead_from(stack[-2], stack[-1]) <= self._ahead_from(stack[-1], new):
+                stack.pop()
+            stack.append(new)
+        return self._at(stack[-1], j)
+
+
 @dataclass(frozen=True)
 class Guesser:
     """Cost of a value in log10 guesses: the cheapest way to cut it into words, dates, repeats, walks and brute force."""
@@ -70,17 +100,8 @@ class Guesser:
                 + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value))
         return math.log10(max(size, 10))
 
-    @staticmethod
-    def _ends(first: int, last: int, step: int, run_start: bool, start: int, signs: int):
-        """Ends first, first + step, ... last; past `signs` the last only, but all of them from the start of a run."""
-        free = last if run_start else min(last, start + signs)
-        yield from range(first, free + 1, step)
-        if last > free:
-            yield last
-
     def cost(self, value: str) -> float:
-        """Dynamic programme over end positions. The minimum over all cuts for values of up to _FREE_SIGNS signs; in longer
-        ones long walks and repeats start or end with their run, so the time stays linear in the value's length."""
+        """Dynamic programme over end positions: the minimum over all cuts, in time linear in the value's length."""
         n, brute, low = len(value), self.per_sign(value), value.lower()
         best = [math.inf] * (n + 1)
         best[0] = 0.0
@@ -93,33 +114,37 @@ class Guesser:
         for i in range(n - 2, -1, -1):
             if (low[i], low[i + 1]) in self.pairs:
                 walk[i] = walk[i + 1]
-        repeats, signs = [], _FREE_SIGNS if n <= _FREE_VALUE else 0
+        repeats = []
         for unit in range(1, min(_MAX_UNIT, n // 2) + 1):
             same = [0] * n
             for i in range(n - unit - 1, -1, -1):
                 same[i] = same[i + 1] + 1 if value[i] == value[i + unit] else 0
             if any(x >= unit for x in same):
-                repeats.append((unit, same))
-        for i in range(n):
-            here = best[i]
-            best[i + 1] = min(best[i + 1], here + brute)
-            for j in range(i + 3, min(n, i + longest) + 1):
-                if (r := self.rank.get(low[i:j])) is not None:
-                    capital = 0.0 if value[i:j] == low[i:j] else math.log10(2) if value[i + 1:j] == low[i + 1:j] else math.log10(j - i + 2)
-                    best[j] = min(best[j], here + r + capital)
-            for j, c in dates.get(i, ()):
-                best[j] = min(best[j], here + c)
-            if (end := walk[i]) - i >= 3:
-                run_start = not i or walk[i - 1] == i
-                for j in self._ends(i + 3, end, 1, run_start, i, signs):
-                    best[j] = min(best[j], here + math.log10(94 * 4 * (j - i)))
-            for unit, same in repeats:
-                if same[i] >= unit:
-                    end = i + (same[i] // unit + 1) * unit
-                    run_start = not i or not same[i - 1]
-                    for j in self._ends(i + 2 * unit, end, unit, run_start, i, signs):
-                        if j - i >= 3:
-                            best[j] = min(best[j], here + unit * brute + math.log10((j - i) // unit))
+                price = lambda signs, unit=unit: unit * brute + math.log10(signs // unit)
+                repeats.append((unit, max(2 * unit, 3), same, price, {}))
+        walked = _Starts(-1, None)
+        for j in range(n + 1):
+            if j >= 3 and (end := walk[j - 3]) >= j:
+                if walked.end != end:
+                    walked = _Starts(end, lambda signs: math.log10(94 * 4 * signs))
+                best[j] = min(best[j], walked.least(j - 3, best[j - 3], j))
+            for unit, shortest, same, price, runs in repeats:
+                i = j - shortest
+                if i >= 0 and same[i] >= shortest - unit:
+                    end, place = i + same[i] + unit, j % unit
+                    if place not in runs or runs[place].end != end:
+                        runs[place] = _Starts(end, price)
+                    best[j] = min(best[j], runs[place].least(i, best[i], j))
+            if j == n:
+                break
+            here = best[j]
+            best[j + 1] = min(best[j + 1], here + brute)
+            for end in range(j + 3, min(n, j + longest) + 1):
+                if (r := self.rank.get(low[j:end])) is not None:
+                    capital = 0.0 if value[j:end] == low[j:end] else math.log10(2) if value[j + 1:end] == low[j + 1:end] else math.log10(end - j + 2)
+                    best[end] = min(best[end], here + r + capital)
+            for end, c in dates.get(j, ()):
+                best[end] = min(best[end], here + c)
         return best[n]
 
 
