@@ -187,3 +187,9 @@ def test_cost_has_the_same_rules_at_any_length():
                     if (j - i) % unit == 0 and j - i >= 2 * unit and value[i:j - unit] == value[i + unit:j]:
                         best[j] = min(best[j], best[i] + unit * brute + math.log10((j - i) // unit))
         assert guesser.cost(value) == pytest.approx(best[n])
+
+
+def test_redaction_of_many_runs_keeps_rows_and_nulls(spark):
+    rows = [(k, None if k % 50 == 0 else f"{k} password = hunter2xyz " + "w" * 40_000) for k in range(150)]  # 6 MB, runs of 2 MB
+    out = redact(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), words=("pass",)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in out] == [(k, t and f"{k} password = [SECRET] " + "w" * 40_000) for k, t in rows]

@@ -241,7 +241,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def scan(batches):
         guesser = Guesser(known.value)
         for batch in batches:
-            for start, end, texts in text_runs(batch.column(1), 16 << 20):
+            for start, end, texts in text_runs(batch.column(1)):
                 spans = [[dict(zip(("kind", "start", "end", "value_start", "log10_guesses"), s))
                           for s in find_secrets(t, guesser, min_log10_guesses)] for t in texts.to_pylist()]
                 part = batch.slice(start, end - start)
@@ -279,9 +279,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", word
     def run(batches):
         guesser = Guesser(known.value)
         for batch in batches:
-            texts = pa.array([clean(t, guesser) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            columns = batch.columns
-            columns[at] = texts
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for start, end, _ in text_runs(batch.column(at)):  # Python holds the texts of one run, not of a batch
+                part = batch.slice(start, end - start)
+                columns = part.columns
+                columns[at] = pa.array([clean(t, guesser) for t in part.column(at).to_pylist()], batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
