@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -107,6 +109,36 @@ def test_complete_links_as_brute_force(spark, monkeypatch, seed, percent, freque
     assert all((r.n_a, r.n_b, r.shared) == (len(of_key[r.a]), len(of_key[r.b]), len(of_key[r.a] & of_key[r.b])) for r in listed)
 
 
+def test_fine_signatures_tell_large_sets_apart_and_keep_links():
+    """Large sets with nothing in common are told apart without their texts; what only one set of a pair has is never exceeded."""
+    rng = np.random.default_rng(7)
+    texts = [[f"w{k}" for k in rng.integers(0, 10**6, n)] for n in (40, 3000, 3100, 3900, 9000, 9500)]
+    texts += [t[:len(t) * 9 // 10] + ["x"] * 3 for t in texts]
+    s = jaccard.Sets(pa.array([" ".join(t) for t in texts]))
+    every = np.arange(len(texts))
+    a, b = (x.ravel() for x in np.meshgrid(every, every))
+    rows = [set(s.hashes[s.bounds[k]:s.bounds[k + 1]].tolist()) for k in every]
+    only = np.array([len(rows[i] ^ rows[j]) for i, j in zip(a, b)])
+    coarse, fine = (jaccard.signatures(s, every, f) for f in (False, True))
+    assert {len(x) for x in coarse} == {128} and len({len(x) for x in fine if x}) >= 3 and fine[0] is None
+    finest = jaccard.Marks(pa.array([f or c for f, c in zip(fine, coarse)], pa.binary()))
+    apart = finest.apart(a, finest, b)
+    assert (apart <= only).all() and (apart[a == b] == 0).all()
+    assert all((finest.apart(int(k), finest, every) == apart[a == k][np.argsort(b[a == k])]).all() for k in every)
+    open_ = apart * 175 <= (s.sizes[a] + s.sizes[b]) * 25
+    linked = (s.sizes[a] + s.sizes[b] - only) * 100 >= (s.sizes[a] + s.sizes[b] + only) * 75
+    assert open_[linked].all() and (open_ == linked)[only == s.sizes[a] + s.sizes[b]].all()
+
+
+def test_frequent_shingles_count_every_span(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPAN", 64)
+    df = spark.createDataFrame([(f"{'a b c d e f' if k % 2 else 'g h i j k'} z{k} y{k} x{k}",) for k in range(60)], "text string").repartition(1)
+    hashes = jaccard.Sets(pa.array(["a b c d e", "b c d e f", "g h i j k"])).hashes
+    s, times = jaccard.frequent_shingles(df)
+    counts = dict(zip(s.tolist(), times.tolist()))
+    assert set(counts) == set(hashes.tolist()) and all(27 <= n <= 30 for n in counts.values())
+
+
 def test_odd_ids_and_empty_table(spark):
     docs = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "x"), (7, "a b c d e f"), (None, "alone here"), (None, None)]
     assert found(spark, docs)[0] == brute(docs, 75)

@@ -8,7 +8,7 @@ in the regions of all pivots of its rare shingles. Every set is compared with it
 the pivot's component at once. Where many members of a large region are outside, the members nearest to the pivot
 become pivots themselves, again and again. Of what is left, only pairs of different components whose distances to the
 region's pivot differ by no more than the radius (the triangle inequality) are compared, and only where sizes and
-signatures (counts of shingles in BINS classes, whose difference bounds the symmetric difference from below) allow a link.
+signatures (counts of shingles in classes, whose difference bounds the symmetric difference from below) allow a link.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from understory.session import scratch_path, stored
 SHINGLE = 5
 #: Shingles that are ordered last because many sets hold them; their number bounds what is broadcast.
 FREQUENT = 1 << 18
-#: Shingles are counted in spans of so many, and a span passes on what at least LOCAL_COUNT of its sets share.
+#: Shingles are counted in spans of so many, and a span passes on what at least LOCAL_COUNT (2 or more) of its sets share.
 SPAN, LOCAL_COUNT = 1 << 22, 2
 #: Cells of every so many shingles also take these further sets as pivots, so that groups of near copies meet early.
 MORE_PIVOTS, MORE_EVERY = 3, 16
 #: Regions in which more pairs than this are open take further pivots, so many in each round.
 CROWD, ROUND_PIVOTS = 1 << 12, 4
-BINS = 128
+#: A signature has BINS classes. Counts of many shingles a class are alike by chance, so a large set has a fine one too, with a
+#: class per PER_BIN shingles (a power of two, at most MOST_BINS): only pairs of sets that are open already meet by that.
+PER_BIN, BINS, MOST_BINS = 4, 128, 4096
 _WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 _U = np.uint64
 
@@ -86,23 +88,30 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     The sums order shingles, so that passages many sets share come last; no result depends on them.
     """
-    def counted(parts):
-        h, times = np.unique(np.concatenate(parts), return_counts=True)
+    def counted(span):
+        span.sort()
+        again = np.zeros(len(span) + 1, bool)  # equal to the one before
+        np.equal(span[1:], span[:-1], out=again[1:-1])
+        first, last = np.flatnonzero(~again[:-1] & again[1:]), np.flatnonzero(again[:-1] & ~again[1:])
+        times = last - first + 1
         some = times >= LOCAL_COUNT
-        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(times[some], pa.int64())], names=["s", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(span[first[some]].view(np.int64)), pa.array(times[some], pa.int64())], names=["s", "times"])
 
     def count(batches):
-        parts, size = [], 0
+        span, size = np.empty(SPAN, np.uint64), 0  # the only copy: it is filled and sorted in place
         for _, _, s in _runs(batches, 0):
             keep = np.zeros(len(s.sizes), bool)
             keep[s.distinct()] = True
-            parts.append(s.hashes[keep[s.owner]])
-            size += len(parts[-1])
-            if size >= SPAN:
-                yield counted(parts)
-                parts, size = [], 0
-        if parts:
-            yield counted(parts)
+            new = s.hashes[keep[s.owner]]
+            while len(new):
+                n = min(len(new), SPAN - size)
+                span[size:size + n] = new[:n]
+                new, size = new[n:], size + n
+                if size == SPAN:
+                    yield counted(span)
+                    size = 0
+        if size:
+            yield counted(span[:size])
 
     top = (texts.mapInArrow(count, "s bigint, times bigint").groupBy("s").agg(F.sum("times").alias("times"))
            .orderBy(F.col("times").desc(), "s").limit(FREQUENT).toArrow())
@@ -187,21 +196,66 @@ def _shared_cells(texts: DataFrame, percent: int) -> DataFrame:
     return usual.unionByName(crowded).groupBy("p", "c").agg(*[F.max(k).alias(k) for k in ("n_p", "n_c", "main")])
 
 
+def signatures(s: Sets, some: np.ndarray, fine: bool = False) -> list[bytes | None]:
+    """Shingles in each class of the leading bits of their hashes, up to 255, for some of the sets; fine: None for small sets."""
+    power = np.ceil(np.log2(np.maximum(s.sizes[some], 1) / (BINS * PER_BIN))).astype(np.int64)
+    power = np.clip(power, 0, (MOST_BINS // BINS).bit_length() - 1) * int(fine)
+    out = np.full(len(some), None)
+    for k in np.unique(power[power > 0] if fine else power):
+        own, width = np.flatnonzero(power == k), BINS << int(k)
+        place = np.full(len(s.sizes), -1)
+        place[some[own]] = np.arange(len(own))
+        at = place[s.owner]
+        classes = (s.hashes[at >= 0] >> _U(65 - width.bit_length())).astype(np.int64)
+        counts = np.bincount(at[at >= 0] * width + classes, minlength=len(own) * width)
+        out[own] = [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8).reshape(-1, width)]
+    return out.tolist()
+
+
+class Marks:
+    """Signatures of a run of sets, those with equally many classes in one array."""
+
+    def __init__(self, column: pa.Array):
+        marks = column.to_pylist()
+        self.width = np.array([len(x) for x in marks], np.int64)
+        self.place, self.rows = np.zeros(len(marks), np.int64), {}
+        for width in np.unique(self.width):
+            own = np.flatnonzero(self.width == width)
+            self.place[own] = np.arange(len(own))
+            self.rows[int(width)] = np.frombuffer(b"".join([marks[k] for k in own]), np.uint8).reshape(-1, width)
+
+    def take(self, at: np.ndarray, width: int, classes: int) -> np.ndarray:
+        """Signatures of sets of one width as of fewer classes."""
+        rows = self.rows[width][self.place[at]]
+        return rows.astype(np.int16) if classes == width else np.minimum(rows.reshape(len(rows), classes, -1).sum(2, dtype=np.int16), 255)
+
+    def apart(self, own: np.ndarray | int, others: Marks, at: np.ndarray) -> np.ndarray:
+        """For each pair of a set of own (an index each, or one) and a set of others: no more than the shingles that only one has."""
+        out, one = np.zeros(len(at), np.int64), np.ndim(own) == 0
+        widths = (self.width[own] << 32) + others.width[at]
+        for both in np.unique(widths):
+            a, b = int(both >> 32), int(both & 0xFFFFFFFF)
+            same = np.flatnonzero(widths == both)
+            step = max(1, (1 << 19) // max(a, b))
+            for part in (same[k:k + step] for k in range(0, len(same), step)):
+                mine = self.take(np.array([own]) if one else own[part], a, min(a, b))
+                out[part] = np.abs(mine - others.take(at[part], b, min(a, b))).sum(1, dtype=np.int64)
+        return out
+
+
 def _set_table(texts: DataFrame, needed: DataFrame) -> str:
     """The texts of needed sets, one each, as a table in buckets by set: joins with it move only the other side."""
     def packed(batches):
         for _, t, s in _runs(batches, 0):
             some = s.distinct()
             data = [zstandard.compress(x.encode(), 3) for x in t.take(pa.array(some)).to_pylist()]
-            bins = np.bincount(s.owner * BINS + (s.hashes >> _U(57)).astype(np.int64), minlength=len(s.sizes) * BINS).reshape(-1, BINS)
-            marks = [row.tobytes() for row in np.minimum(bins[some], 255).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.keys[some]), pa.array(marks, pa.binary()), pa.array(data, pa.binary())],
-                                             names=["c", "mark", "text"])
+            marks = [pa.array(signatures(s, some, fine), pa.binary()) for fine in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array(s.keys[some]), *marks, pa.array(data, pa.binary())], names=["c", "mark", "fine", "text"])
 
     spark = texts.sparkSession
     table, buckets = f"sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (texts.mapInArrow(packed, "c bigint, mark binary, text binary").repartition(buckets, "c").join(needed, "c", "left_semi")
-     .groupBy("c").agg(F.first("mark").alias("mark"), F.first("text").alias("text"))
+    (texts.mapInArrow(packed, "c bigint, mark binary, fine binary, text binary").repartition(buckets, "c").join(needed, "c", "left_semi")
+     .groupBy("c").agg(F.first(F.struct("mark", "fine", "text")).alias("own")).select("c", "own.*")
      .write.bucketBy(buckets, "c").option("path", scratch_path(spark, table)).saveAsTable(table))
     return table
 
@@ -213,15 +267,15 @@ def _open_pairs(pairs: DataFrame, percent: int) -> DataFrame:
             if not len(batch):
                 continue
             n = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
-            apart = np.abs(one - two).sum(1, dtype=np.int64)
+            every = np.arange(len(batch))
+            apart = Marks(batch.column(4)).apart(every, Marks(batch.column(5)), every)
             yield batch.filter(pa.array(apart * (100 + percent) <= n * (100 - percent))).select(["a", "b"])
 
     return pairs.select("a", "b", "n_a", "n_b", "mark_a", "mark_b").mapInArrow(keep, "a bigint, b bigint").distinct()
 
 
 def _open_in_regions(region: DataFrame, percent: int, complete: bool = False) -> DataFrame:
-    """Distinct (a, b) of different components in one region that sizes, distances to the pivot and signatures leave open.
+    """Distinct (a, b, n_a, n_b) of different components in one region that sizes, distances to the pivot and signatures leave open.
 
     Members outside the pivot's component meet all members in pairs of blocks of bounded size; only open pairs become
     rows. With complete, pairs of one component are taken as well, and all members meet all.
@@ -238,7 +292,7 @@ def _open_in_regions(region: DataFrame, percent: int, complete: bool = False) ->
         flat = cell.values
         c, n, root = (np.asarray(flat.field(k), np.int64) for k in ("c", "n", "root"))
         d = np.asarray(flat.field("d").to_numpy(zero_copy_only=False), np.float64)  # unknown: NaN
-        return c, n, d, root, np.frombuffer(b"".join(flat.field("mark").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        return c, n, d, root, Marks(flat.field("mark"))
 
     def keep(batches):
         for batch in batches:
@@ -249,13 +303,14 @@ def _open_in_regions(region: DataFrame, percent: int, complete: bool = False) ->
                     fits = ((oc > c[i] if complete else oroot != root[i]) & (np.maximum(on, n[i]) * percent <= np.minimum(on, n[i]) * 100)
                             & ~(np.abs(od - d[i]) > 1 - percent / 100 + 1e-9))
                     at = np.flatnonzero(fits)
-                    at = at[np.abs(omark[at] - mark[i]).sum(1, dtype=np.int64) * (100 + percent) <= (on[at] + n[i]) * (100 - percent)]
-                    pairs.append(np.stack([np.minimum(oc[at], c[i]), np.maximum(oc[at], c[i])]))
+                    at = at[mark.apart(i, omark, at) * (100 + percent) <= (on[at] + n[i]) * (100 - percent)]
+                    one, two = np.stack([np.full(len(at), c[i]), np.full(len(at), n[i])]), np.stack([oc[at], on[at]])
+                    pairs.append(np.where(oc[at] > c[i], np.concatenate([one, two]), np.concatenate([two, one])))
                 pairs = np.unique(np.concatenate(pairs, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[k]) for k in (0, 2, 1, 3)], names=["a", "b", "n_a", "n_b"])
 
     return (apart.select("p", "x").join(every.select("p", F.col("x").alias("y")), "p").select("x", "y")
-            .mapInArrow(keep, "a bigint, b bigint").distinct())
+            .mapInArrow(keep, "a bigint, b bigint, n_a bigint, n_b bigint").distinct())
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,16 +400,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     cells = stored(_shared_cells(texts, percent), "cells")
     needed = cells.select("p").union(cells.select("c")).distinct().withColumnRenamed("p", "c")
     sets = docs.sparkSession.table(_set_table(texts, needed))
-    marks = sets.select("c", "mark")
+    marks, finest = sets.select("c", "mark"), sets.select("c", F.coalesce("fine", "mark"))
     fits = (lambda m, n: F.greatest(m, n) * percent <= F.least(m, n) * 100)
 
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, n_a, n_b) that may link, with what they share."""
-        marked = (pairs.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b"))
-        return stored(_distances(_open_pairs(marked, percent), sets), name)
+        marked = pairs.join(finest.toDF("a", "mark_a"), "a").join(finest.toDF("b", "mark_b"), "b")
+        return _distances(_open_pairs(marked, percent), sets)
 
-    near = compared(cells.filter(fits(F.col("n_p"), F.col("n_c"))).select(
-        F.col("p").alias("a"), F.col("c").alias("b"), F.col("n_p").alias("n_a"), F.col("n_c").alias("n_b")), "pivots")
+    near = stored(compared(cells.filter(fits(F.col("n_p"), F.col("n_c"))).select(
+        F.col("p").alias("a"), F.col("c").alias("b"), F.col("n_p").alias("n_a"), F.col("n_c").alias("n_b"))), "pivots")
     found = ("a", "b", "n_a", "n_b", "shared")
     links = near.filter(_linked(percent)).select(*found)
 
@@ -382,12 +437,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
         outside = region.filter("root <> home").select("p", F.col("c").alias("b"), F.col("n").alias("n_b"))
         pairs = (outside.join(chosen, "p").filter((F.col("a") != F.col("b")) & fits(F.col("n_a"), F.col("n_b")))
                  .select("a", "b", "n_a", "n_b").distinct())
-        more = compared(pairs, "more-pivots").filter(_linked(percent)).select(*found)
+        more = stored(compared(pairs), "more-pivots").filter(_linked(percent)).select(*found)
         if more.isEmpty():
             break
         links, rounds, before = links.unionByName(more), rounds + 1, open_
 
-    last = stored(_distances(_open_in_regions(region, percent, complete), sets).filter(_linked(percent)).select(*found), "last-links")
+    last = stored(compared(_open_in_regions(region, percent, complete)).filter(_linked(percent)).select(*found), "last-links")
     links = links.unionByName(last)
     if complete:  # a pair may have met as pivot and member, in either order, and in a region
         turned = F.col("a") > F.col("b")

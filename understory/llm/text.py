@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of rows of about this many bytes; one longer text is a run of its own.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -128,7 +128,9 @@ class SpanHasher:
         codes = _BYTE[LOWER] if lower else _BYTE
         up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes[data] * up[:len(data)], out=self.sums[1:])
+        terms = self.sums[1:]
+        np.multiply(codes[data], up[:len(data)], out=terms)
+        np.cumsum(terms, out=terms)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
