@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from understory.llm import suffixes
@@ -65,6 +66,12 @@ def test_as_brute_force(spark, monkeypatch, seed, shard_bytes):
     assert found(spark, docs, shard_bytes=shard_bytes) == brute(docs, 50)
 
 
+@pytest.mark.parametrize("length", [28, 120])
+def test_other_lengths_as_brute_force(spark, length):
+    docs = list(enumerate(texts(length, 50)))
+    assert found(spark, docs, length=length, shard_bytes=300) == brute(docs, length)
+
+
 def test_edge_rows(spark):
     long = "".join(random.Random(5).choice("abcdef") for _ in range(4000))
     docs = [(1, None), (2, ""), (3, "a" * 500), (4, "a" * 49), (5, "a" * 50), (5, "a" * 60), (6, long), (7, long[1000:3000]), (None, long), (None, None)]
@@ -89,3 +96,49 @@ def test_suffix_array_and_prefixes():
         for k in range(1, size):
             a, b = raw[order[k - 1]:order[k - 1] + 20], raw[order[k]:order[k] + 20]
             assert got[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_a_shard_reopens_without_looking_for_anchors(monkeypatch):
+    docs = [t.encode() for t in texts(7, 40)]
+    data, offsets = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)])
+    for length in (28, 50, 200):
+        found_ = suffixes.Shard(data, offsets, np.arange(len(docs)), length)
+        with monkeypatch.context() as m:
+            m.setattr(suffixes.Shard, "runs", None)
+            again = suffixes.Shard(data, offsets, np.arange(len(docs)), length, suffixes.pack_runs(found_.starts, found_.values))
+        for name in ("valid", "anchors", "gram", "doc"):
+            assert getattr(again, name).tolist() == getattr(found_, name).tolist()
+        assert again.strings(np.arange(len(again.anchors))).tolist() == np.flatnonzero(again.valid).tolist()
+
+
+@pytest.mark.parametrize("length", [28, 50, 200])
+def test_equal_strings_have_equal_parts(length):
+    docs = [t.encode() for t in texts(8, 60)]
+    data, offsets = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)])
+    s = suffixes.Shard(data, offsets, np.arange(len(docs)), length)
+    at = np.flatnonzero(s.valid)
+    common, part = s.parts(at)
+    seen = {}
+    for start, key in zip(at.tolist(), common[part].tolist()):
+        assert seen.setdefault(data[start:start + length].tobytes(), key) == key
+    assert len(seen) < len(at) and len(common) < len(at)
+
+
+def test_strings_of_parts_that_no_other_shard_has_are_not_sent(spark, monkeypatch):
+    """A gram of 20 bytes in many documents, other bytes around it: no string is shared, so none needs to be sent."""
+    rng = random.Random(9)
+    docs = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(60)) + " the same twenty bytes! " + "".join(rng.choice("abcdefghijklmnop") for _ in range(60)))
+            for k in range(40)]
+    with_ids = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sent = []
+    groups = type(with_ids.groupBy())
+    own = groups.applyInArrow
+
+    def counted(self, f, schema):
+        rows = own(self, lambda t: pa.table({"n": pa.array([sum(len(suffixes.unpack_keys(b.as_py())[0]) for b in t["keys"])], pa.int64())}), "n bigint").collect()
+        sent.append(sum(r.n for r in rows))
+        return own(self, f, schema)
+
+    monkeypatch.setattr(groups, "applyInArrow", counted)
+    assert [r.spans for r in repeated_strings(with_ids, shard_bytes=400).collect()] == [[]] * 40
+    assert len(sent) == 4 and sent[0] > 0 and sent[3] == 0

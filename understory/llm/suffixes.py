@@ -3,13 +3,16 @@
 A document position is covered if the `length` bytes from it also start in a document with a smaller id. Within a shard
 (a run of documents) a suffix array, sorted to that depth, tells this for every position. Across shards only a few
 positions need to be compared: every string of `length` bytes holds an anchor, the smallest hash among its GRAM-byte
-grams, and equal strings have equal anchors. Three exchanges narrow down what is sent, each a sorted key list per shard
-that is merged with the other shards' by binary search in ranges of keys:
+grams, and equal strings have equal anchors. Four exchanges narrow down what is sent, each a sorted key list per shard
+that is merged with the other shards' in ranges of keys:
 
 1. anchors: which occur in another shard at all;
 2. contexts of those (all bytes that any string around the anchor can reach): a context that another shard has in a
    smaller document covers all strings around it;
-3. for the contexts left: the single strings around them.
+3. for the contexts left: the bytes that all strings in a part of the places around the anchor have in common;
+4. where another shard left open has these too: the single strings.
+
+Anchors are found once and kept beside the shard's texts.
 
 A shard sends each key once, with its smallest document id, so a passage that fills a third of the corpus is one row a
 shard. Answers are a bit a key.
@@ -21,7 +24,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -32,6 +34,9 @@ from understory.llm.text import SpanHasher, mixed, quoted, ready, text_runs, utf
 from understory.session import scratch_path
 
 GRAM = 20
+#: The places of strings around an anchor are told apart in so many parts before single strings are.
+PARTS = 4
+ROUNDS = 4
 SHARD_BYTES = 1 << 20
 #: Text bytes for each range of keys; sets how many ranges, so a merging task's size stays the same as data grows.
 RANGE_BYTES = 8 << 20
@@ -120,26 +125,34 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
 # ---- one shard
 
 class Shard:
-    """A run of documents with the anchors of all strings of `length` bytes."""
+    """A run of documents with the anchors of all strings of `length` bytes. runs: as packed by pack_runs, if known."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int, runs: bytes | None = None):
         self.data, self.offsets, self.ids, self.length = data, offsets, ids, length
-        self.owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        self.owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
         self.window = length - GRAM + 1
-        n = len(data) - length + 1
-        self.valid = self.owner[:n] == self.owner[length - 1:] if n > 0 else np.zeros(0, bool)
+        n = max(len(data) - length + 1, 0)
+        self.valid = self.owner[:n] == self.owner[length - 1:] if n else np.zeros(0, bool)
         self.hash = SpanHasher(data)
-        if n > 0:
-            at = np.arange(len(data) - GRAM + 1)
-            gram = self.hash(at, at + GRAM)
-            # the leftmost gram with the smallest hash of each string: the place in the low bits settles ties
-            low = _U((1 << int(len(gram)).bit_length()) - 1)
-            self.anchor = (window_min((gram & ~low) | at.astype(np.uint64), self.window) & low).astype(np.int64)
-        else:
-            gram, self.anchor = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.anchors = np.unique(self.anchor[self.valid])
-        self.gram = gram[self.anchors]
-        self.doc = self.owner[self.anchors] if len(self.anchors) else np.zeros(0, np.int64)
+        # the anchors rise with the strings: a run of strings has one
+        self.starts, self.values = self.runs(n) if runs is None else unpack_runs(runs)
+        self.lengths = np.diff(self.starts, append=n)
+        some = np.add.reduceat(self.valid, self.starts, dtype=np.int64) > 0 if n else np.zeros(0, bool)
+        self.of_run = np.where(some, np.cumsum(some) - 1, -1)
+        self.anchors = self.values[some]
+        self.gram = self.hash(self.anchors, self.anchors + GRAM)
+        self.doc = self.owner[self.anchors]
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First string of each run and its anchor: the leftmost gram with the smallest hash."""
+        anchor, step = np.zeros(n, np.int64), max(1 << 15, 4 * self.window)
+        low = _U((1 << (step + self.window).bit_length()) - 1)  # the place in the low bits settles ties
+        for a in range(0, n, step):
+            gram = self.hash.every(GRAM, a, min(n, a + step) + self.window - 1)
+            gram = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
+            anchor[a:a + step] = (window_min(gram, self.window) & low).astype(np.int64) + a
+        starts = np.flatnonzero(np.diff(anchor, prepend=-1))
+        return starts, anchor[starts]
 
     def contexts(self, which: np.ndarray) -> np.ndarray:
         """Hash of all bytes around chosen anchors that a string with this anchor can hold, and of where it stands."""
@@ -150,9 +163,20 @@ class Shard:
 
     def strings(self, which: np.ndarray) -> np.ndarray:
         """Positions whose anchor is a chosen one."""
-        chosen = np.zeros(len(self.data) + 1, bool)
-        chosen[self.anchors[which]] = True
-        return np.flatnonzero(self.valid & chosen[self.anchor])
+        chosen = np.zeros(len(self.anchors) + 1, bool)  # the last: runs without a string
+        chosen[which] = True
+        return np.flatnonzero(self.valid & np.repeat(chosen[self.of_run], self.lengths))
+
+    def parts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For strings by their start: hashes of what strings of one anchor and part have in common, and which is whose."""
+        anchor = self.values[np.searchsorted(self.starts, at, "right") - 1]
+        part = (anchor - at) * PARTS // self.window
+        first = np.ones(len(at), bool)
+        first[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+        # strings of a part start from `far` to `near` bytes before the anchor
+        near, far = -(-part[first] * self.window // PARTS), -(-(part[first] + 1) * self.window // PARTS) - 1
+        common = self.hash(anchor[first] - near, anchor[first] - far + self.length)
+        return mixed(common + part[first].astype(np.uint64)), np.cumsum(first) - 1
 
     def covered_here(self) -> np.ndarray:
         """Positions whose string starts in a document of this shard with a smaller id, by the suffix array."""
@@ -181,6 +205,15 @@ class Shard:
         return out
 
 
+def pack_runs(starts: np.ndarray, values: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(np.stack([starts, values]), prepend=0).astype(np.int32).tobytes(), 3)
+
+
+def unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    starts, values = np.cumsum(np.frombuffer(zstandard.decompress(blob), np.int32).reshape(2, -1), axis=1, dtype=np.int64)
+    return starts, values
+
+
 class Keys:
     """Distinct keys of a shard, sorted, with the smallest document id of each."""
 
@@ -229,21 +262,25 @@ def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(columns[0], dtype=np.uint64), columns[1].view(np.int64) if len(columns) > 1 else np.zeros(len(columns[0]), np.int64)
 
 
-def merge_range(rows: pd.DataFrame) -> pd.DataFrame:
+def merge_range(rows: pa.Table) -> pa.Table:
     """Merge the sorted keys of all shards in one range; two bits a key in answer, none for keys of one shard only."""
-    lists = [unpack_keys(b) for b in rows["keys"]]
-    merged = np.unique(np.concatenate([k for k, _ in lists]))
-    shards, least = np.zeros(len(merged), np.int64), np.full(len(merged), np.iinfo(np.int64).max)
-    places = [np.searchsorted(merged, k) for k, _ in lists]
-    for at, (_, ids) in zip(places, lists):
-        shards[at] += 1
-        least[at] = np.minimum(least[at], ids)
-    out = []
-    for shard, number, at, (_, ids) in zip(rows["shard"], rows["number"], places, lists):
-        bits = np.stack([shards[at] > 1, least[at] < ids], 1)
-        if bits.any():
-            out.append((shard, number, np.packbits(bits).tobytes()))
-    return pd.DataFrame(out, columns=["shard", "number", "bits"])
+    lists = [unpack_keys(b.as_py()) for b in rows["keys"]]
+    keys, ids = (np.concatenate(x) for x in zip(*lists))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+    bits = np.zeros((len(keys), 2), bool)  # a shard has a key once
+    bits[order, 0] = ~(first & np.append(first[1:], True))
+    bits[order, 1] = least < ids[order]
+    out, end = [], 0
+    for shard, number, (own, _) in zip(rows["shard"].to_pylist(), rows["number"].to_pylist(), lists):
+        start, end = end, end + len(own)
+        if bits[start:end].any():
+            out.append((shard, number, np.packbits(bits[start:end]).tobytes()))
+    kinds = (("shard", pa.int64()), ("number", pa.int64()), ("bits", pa.binary()))
+    return pa.table({name: pa.array([x[k] for x in out], kind) for k, (name, kind) in enumerate(kinds)})
 
 
 # ---- all shards
@@ -272,25 +309,27 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
             for start, end, texts in text_runs(batch.column(1), shard_bytes):
                 data, offsets = utf8(texts)
                 ids = np.asarray(batch.column(0).slice(start, end - start), np.int64)
+                s = Shard(data, offsets, ids, length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part + count], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()),
-                     pa.array([zstandard.compress(data.tobytes(), 3)], pa.binary())], names=["shard", "ids", "offsets", "data"])
+                     pa.array([zstandard.compress(data.tobytes(), 3)], pa.binary()), pa.array([pack_runs(s.starts, s.values)], pa.binary())],
+                    names=["shard", "ids", "offsets", "data", "runs"])
                 count += 1
 
     # a table in buckets by shard: joins with answers move only the answers
     table = f"shards_{uuid.uuid4().hex}"
     buckets = int(max(8, -(-total // (8 * shard_bytes))))
-    (known.mapInArrow(shards, "shard bigint, ids binary, offsets binary, data binary")
+    (known.mapInArrow(shards, "shard bigint, ids binary, offsets binary, data binary, runs binary")
      .write.bucketBy(buckets, "shard").option("path", scratch_path(spark, table)).saveAsTable(table))
 
     def opened(row) -> Shard:
         return Shard(np.frombuffer(zstandard.decompress(row["data"]), np.uint8), np.frombuffer(row["offsets"], np.int64),
-                     np.frombuffer(row["ids"], np.int64), length)
+                     np.frombuffer(row["ids"], np.int64), length, row["runs"])
 
     def state(row, rounds: int):
         """What the answers so far say: the shard, keys of the next round, and what they stand for."""
         s = opened(row)
-        got = [dict() for _ in range(3)]
+        got = [dict() for _ in range(ROUNDS)]
         for a in row["answers"] or ():
             got[a["round"]][a["number"]] = a["bits"]
         keys = Keys(s.gram & ~_U(0xFFFF), None)  # 48 bits: a chance match costs a comparison
@@ -304,10 +343,15 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
         covered, which = which[smaller], which[~smaller]
         # of equal contexts in this shard, one speaks for all; the suffix array covers the others
         at = s.strings(which)
-        keys = Keys(s.hash(at, at + length), s.ids[s.owner[at]])
+        common, part = s.parts(at)
+        keys = Keys(common, None)
         if rounds == 2:
             return s, keys, None, None
-        return s, keys.answers(bits, got[2])[1], at, covered
+        at = at[keys.answers(bits, got[2])[0][part]]
+        keys = Keys(s.hash(at, at + length), s.ids[s.owner[at]])
+        if rounds == 3:
+            return s, keys, None, None
+        return s, keys.answers(bits, got[3])[1], at, covered
 
     def send(rounds: int):
         def run(batches):
@@ -322,16 +366,16 @@ def repeated_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     def finish(batches):
         for batch in batches:
             for row in _rows(batch):
-                s, elsewhere, at, contexts = state(row, 3)
+                s, elsewhere, at, contexts = state(row, ROUNDS)
                 covered = s.covered_here()
                 covered[s.strings(contexts)] = True
                 covered[at[elsewhere]] = True
                 yield _removed(s, covered)
 
     answers = None
-    for rounds in range(3):
+    for rounds in range(ROUNDS):
         sent = _with_answers(spark, table, answers).mapInArrow(send(rounds), "shard bigint, number bigint, keys binary")
-        got = (sent.groupBy("number").applyInPandas(merge_range, "shard bigint, number bigint, bits binary")
+        got = (sent.groupBy("number").applyInArrow(merge_range, "shard bigint, number bigint, bits binary")
                .withColumn("round", F.lit(rounds)))
         path = scratch_path(spark, f"answers-{rounds}")
         got.write.parquet(path)

@@ -135,6 +135,10 @@ class SpanHasher:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def every(self, size: int, first: int, last: int) -> np.ndarray:
+        """Hashes of the spans of one size that start at first, first + 1, ... before last."""
+        return mixed((self.sums[first + size:last + size] - self.sums[first:last]) * self.down[first:last] + _U(size))
+
 
 def run_hash(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words (len(words) - k + 1 of them), from the words' hashes."""
