@@ -139,6 +139,49 @@ def test_frequent_shingles_count_every_span(spark, monkeypatch):
     assert set(counts) == set(hashes.tolist()) and all(27 <= n <= 30 for n in counts.values())
 
 
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_rarest_shingles_of_each_set(percent):
+    rng = random.Random(percent)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(50)] + ["", "a", "b c d"]
+    s = jaccard.Sets(pa.array(texts))
+    for k in range(len(texts)):
+        own = s.hashes[s.bounds[k]:s.bounds[k + 1]].tolist()
+        assert own == sorted(set(own)) and len(own) == len(shingles(texts[k]))
+    values, times = np.unique(s.hashes, return_counts=True)
+    common, times = values[times > 2], times[times > 2]
+    count = dict(zip(common.tolist(), times.tolist()))
+    places, is_common = s.rarest(s.distinct(), common, times, percent)
+    got = sorted(zip(s.owner[places].tolist(), s.hashes[places].tolist(), is_common.tolist()))
+    want = []
+    for k in s.distinct():
+        own = sorted(s.hashes[s.bounds[k]:s.bounds[k + 1]].tolist(), key=lambda h: (count.get(h, 0), h))
+        want += [(k, h, h in count) for h in own[:len(own) + 1 + (-percent * len(own)) // 100]]
+    assert got == sorted(want) and 0 < is_common.sum() < len(places)
+    nothing = np.zeros(0, np.uint64)
+    assert not s.rarest(s.distinct(), nothing, nothing.astype(np.int64), percent)[1].any()
+
+
+def test_distinct_columns():
+    rows = np.random.default_rng(1).integers(-3, 3, (3, 500))
+    got = jaccard.distinct_columns(rows)
+    assert sorted(map(tuple, got.T.tolist())) == sorted(set(map(tuple, rows.T.tolist())))
+    assert jaccard.distinct_columns(np.zeros((4, 0), np.int64)).shape == (4, 0)
+
+
+def test_texts_are_read_four_times(spark):
+    """For counts, rare shingles, texts of needed sets and the result: rare shingles were taken twice."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = spark.createDataFrame([(k, f"a b c d e f g {k % 7}") for k in range(50)], "doc_id bigint, text string")
+    membership, _ = jaccard_components(docs.mapInArrow(seen, docs.schema))
+    assert len(membership.collect()) == 50 and read.value == 4 * 50
+
+
 def test_odd_ids_and_empty_table(spark):
     docs = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "x"), (7, "a b c d e f"), (None, "alone here"), (None, None)]
     assert found(spark, docs)[0] == brute(docs, 75)

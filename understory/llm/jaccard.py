@@ -61,8 +61,13 @@ class Sets:
                 hashes.append(mixed(part + _U(k)))
                 owners.append(short)
         h, o = np.concatenate(hashes), np.concatenate(owners)
-        order = np.lexsort((h, o))
-        h, o = h[order], o[order]
+        if len(hashes) > 1:
+            order = np.argsort(o, kind="stable")
+            h, o = h[order], o[order]
+        ends = np.cumsum(np.bincount(o, minlength=len(n))).tolist()
+        for a, b in zip([0, *ends], ends):  # short sorts: several times faster than one by two keys
+            if b - a > 1:
+                h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
         self.hashes, self.owner = h[new], o[new]
@@ -76,6 +81,41 @@ class Sets:
         full = np.flatnonzero(self.sizes > 0)
         return full[np.sort(np.unique(self.keys[full], return_index=True)[1])]
 
+    def rarest(self, some: np.ndarray, common: np.ndarray, times: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """For some sets, places of the shingles one of which any set that links holds; which are common (sorted, in so many sets)."""
+        keep = np.zeros(len(self.sizes), bool)
+        keep[some] = True
+        at = np.flatnonzero(keep[self.owner])
+        count = np.zeros(len(at), np.int64)
+        if len(common):
+            leading = np.zeros(1 << 22, bool)  # of common shingles: most others are told by it
+            leading[common >> _U(42)] = True
+            maybe = np.flatnonzero(leading[self.hashes[at] >> _U(42)])
+            h = self.hashes[at[maybe]]
+            place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            count[maybe] = np.where(common[place] == h, times[place], 0)
+        # in each set by count, then hash; those that aren't common stand in order already
+        limit = self.sizes + 1 + (-percent * self.sizes) // 100
+        first, last = at[count == 0], at[count > 0]
+        last = last[np.lexsort((count[count > 0], self.owner[last]))]
+        n_first = np.bincount(self.owner[first], minlength=len(self.sizes))
+        n_last = np.bincount(self.owner[last], minlength=len(self.sizes))
+        one, two = self.owner[first], self.owner[last]
+        first = first[np.arange(len(first)) - (np.cumsum(n_first) - n_first)[one] < limit[one]]
+        last = last[np.arange(len(last)) - (np.cumsum(n_last) - n_last)[two] + n_first[two] < limit[two]]
+        return np.concatenate([first, last]), np.repeat([False, True], [len(first), len(last)])
+
+
+def distinct_columns(rows: np.ndarray) -> np.ndarray:
+    """The columns of a table of whole numbers without repeats (but for chance ones of their hashes), in another order."""
+    key = np.zeros(rows.shape[1], np.uint64)
+    for row in rows:
+        key = (key ^ row.view(np.uint64)) * _U(0xD6E8FEB86659FD93)
+    rows = rows[:, np.argsort(key)]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    return rows[:, new]
+
 
 def _runs(batches, column: int):
     for batch in batches:
@@ -131,39 +171,35 @@ def _shared_cells(texts: DataFrame, percent: int) -> DataFrame:
     def rare(batches):
         common, times = marks.value
         for _, _, s in _runs(batches, 0):
-            keep = np.zeros(len(s.sizes), bool)
-            keep[s.distinct()] = True
-            at = np.flatnonzero(keep[s.owner])
-            h, o = s.hashes[at], s.owner[at]
-            place = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
-            is_common = common[place] == h if len(common) else np.zeros(len(h), bool)
-            count = np.where(is_common, times[place], 0) if len(common) else np.zeros(len(h), np.int64)
-            order = np.lexsort((h, count, o))
-            position = np.arange(len(h)) - np.searchsorted(o, o)
-            n = s.sizes[o]
-            chosen = order[position < n + 1 + (-percent * n) // 100]
+            chosen, is_common = s.rarest(s.distinct(), common, times, percent)
+            n = s.sizes[s.owner[chosen]].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[chosen].view(np.int64)), pa.array(s.keys[o[chosen]]), pa.array(s.sizes[o[chosen]].astype(np.int32)),
-                 pa.array(is_common[chosen])], names=["s", "c", "n", "common"])
+                [pa.array(s.hashes[chosen].view(np.int64)), pa.array(s.keys[s.owner[chosen]]), pa.array(np.where(is_common, -n, n))], names=["s", "c", "n"])
+
+    def table(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["p", "c", "n_p", "n_c", "main"])
 
     def cells(batches):
-        """Rows come sorted by shingle and set; a cell may run over batches."""
+        """Rows come sorted by shingle and set; a cell may run over batches. Common shingles pass through, as p, with main = -1."""
         carry, buffer, pairs = np.zeros((3, 0), np.int64), [], np.zeros((5, 0), np.int64)
-
-        def table():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["p", "c", "n_p", "n_c", "main"])
-
         for batch in batches:
-            buffer.append(np.stack([np.asarray(x, np.int64) for x in batch.columns]))
+            rows = np.stack([np.asarray(x, np.int64) for x in batch.columns])
+            crowd = rows[2] < 0
+            if crowd.any():
+                s, c, n = rows[:, crowd]
+                yield table([s, c, np.zeros(len(s), np.int64), -n, np.full(len(s), -1)])
+                rows = rows[:, ~crowd]
+            if rows.shape[1]:
+                buffer.append(rows)
             if sum(x.shape[1] for x in buffer) >= 1 << 18:
                 new, carry = meet(buffer, carry)
-                buffer, pairs = [], np.unique(np.concatenate([pairs, new], 1), axis=1)
+                buffer, pairs = [], distinct_columns(np.concatenate([pairs, new], 1))
                 if pairs.shape[1] >= 1 << 19:
-                    yield table()
+                    yield table(pairs)
                     pairs = np.zeros((5, 0), np.int64)
         if buffer:
-            pairs = np.unique(np.concatenate([pairs, meet(buffer, carry)[0]], 1), axis=1)
-        yield table()
+            pairs = distinct_columns(np.concatenate([pairs, meet(buffer, carry)[0]], 1))
+        yield table(pairs)
 
     def meet(buffer, carry):
         """carry: the cell that was open, as its first pivots."""
@@ -183,13 +219,15 @@ def _shared_cells(texts: DataFrame, percent: int) -> DataFrame:
                 pivot, some = pivot[fits], some[fits]
             pairs.append(np.stack([c[pivot], c[some], n[pivot], n[some], np.full(len(some), int(k == 0))]))
         last = slice(head[-1], head[-1] + 1 + MORE_PIVOTS)
-        return np.unique(np.concatenate(pairs, 1), axis=1), np.stack([s[last], c[last], n[last]])
+        return np.concatenate(pairs, 1), np.stack([s[last], c[last], n[last]])
 
     kind = "p bigint, c bigint, n_p bigint, n_c bigint, main bigint"
-    entries = texts.mapInArrow(rare, "s bigint, c bigint, n int, common boolean")
-    usual = entries.filter("not common").select("s", "c", "n").repartition("s").sortWithinPartitions("s", "c").mapInArrow(cells, kind)
-    # cells of common shingles may hold a large share of all sets: their pivots are found by partial minima
-    crowd = stored(entries.filter("common").select("s", "c", F.col("n").cast("bigint").alias("n")), "common-shingles")
+    # cells of common shingles may hold a large share of all sets: their rows are dealt out by set as well, and their
+    # pivots are found by partial minima. Common ones are marked by a size below zero.
+    place = F.when(F.col("n") < 0, F.xxhash64("s", "c")).otherwise(F.col("s"))
+    met = stored(texts.mapInArrow(rare, "s bigint, c bigint, n int").repartition(place).sortWithinPartitions("s", "c").mapInArrow(cells, kind), "met")
+    usual = met.filter("main >= 0")
+    crowd = met.filter("main < 0").select(F.col("p").alias("s"), "c", F.col("n_c").alias("n"))
     heads = crowd.groupBy("s").agg(F.min(F.struct(F.col("c").alias("p"), F.col("n").alias("n_p"))).alias("head"))  # FREQUENT rows at most
     crowded = (crowd.join(F.broadcast(heads.select("s", "head.*")), "s").filter("c <> p")
                .select("p", "c", "n_p", F.col("n").alias("n_c"), F.lit(1).cast("bigint").alias("main")))
@@ -306,7 +344,7 @@ def _open_in_regions(region: DataFrame, percent: int, complete: bool = False) ->
                     at = at[mark.apart(i, omark, at) * (100 + percent) <= (on[at] + n[i]) * (100 - percent)]
                     one, two = np.stack([np.full(len(at), c[i]), np.full(len(at), n[i])]), np.stack([oc[at], on[at]])
                     pairs.append(np.where(oc[at] > c[i], np.concatenate([one, two]), np.concatenate([two, one])))
-                pairs = np.unique(np.concatenate(pairs, 1), axis=1)
+                pairs = distinct_columns(np.concatenate(pairs, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[k]) for k in (0, 2, 1, 3)], names=["a", "b", "n_a", "n_b"])
 
     return (apart.select("p", "x").join(every.select("p", F.col("x").alias("y")), "p").select("x", "y")
