@@ -1,6 +1,7 @@
 """Token counts and packing against the library itself."""
 
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from understory.llm import token_counts as tc
-from understory.llm import tokens
+from understory.llm import jaccard, tokens
 from understory.llm.packing import Limits, pack
 
 SCHEMA = "doc_id bigint, text string, n_tokens int, id int, content string, start int, length int"
@@ -123,3 +124,11 @@ def test_ids_of_any_type(spark, kind):
     assert pieces.schema["id"].dataType == df.schema["k"].dataType and pieces.count() >= 2
     chats = format_chats(df, conv_col="k")
     assert chats.schema["conv_id"].dataType == df.schema["k"].dataType and chats.count() == 3
+
+
+def test_an_encoder_is_dropped_when_its_worker_takes_up_other_work():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = weakref.ref(tokens.encoder(path))
+    assert tokens.encoder(path) is one()
+    list(jaccard._runs(iter([]), 0))
+    assert one() is None

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from understory.llm.text import RUN_BYTES, SpanHasher, mixed, pick, ready, run_hash, text_runs, utf8, word_spans
+from understory.llm.text import RUN_BYTES, SpanHasher, kept, mixed, pick, ready, run_hash, text_runs, utf8, word_spans
 from understory.session import scratch_path, stored
 
 SHINGLE = 5
@@ -118,6 +118,7 @@ def distinct_columns(rows: np.ndarray) -> np.ndarray:
 
 
 def _runs(batches, column: int):
+    kept("shingles")
     for batch in batches:
         for start, end, texts in text_runs(batch.column(column)):
             yield batch.slice(start, end - start), texts, Sets(texts)
@@ -357,6 +358,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = sets.select(F.col("c").alias("a"), F.col("text").alias("text_a")), sets.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
 
     def compare(batches):
+        kept("shingles")
         last, mine = None, None
         for batch in batches:
             a_keys, one, two = batch.column(keep.index("a")).to_pylist(), batch.column(len(keep)), batch.column(len(keep) + 1)

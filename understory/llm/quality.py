@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.text import SpanHasher, pick, ready, text_runs, utf8, word_spans
+from understory.llm.text import SpanHasher, kept, pick, ready, text_runs, utf8, word_spans
 
 BUCKETS = 4096
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -144,6 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id")
 
     def run(batches):
+        kept("scores")
         for batch in batches:
             for start, end, texts in text_runs(batch.column(0)):
                 begin, cols, vals = features(texts)
@@ -173,6 +174,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH times (factors + 3) numbers
 
     def run(batches):
+        kept("scores")
         for batch in batches:
             parts = [shared.value.score(*features(t)) for _, _, t in text_runs(batch.column(at))]
             scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())

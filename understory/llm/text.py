@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -48,8 +50,27 @@ def text_runs(column: pa.Array | pa.ChunkedArray, max_bytes: int = RUN_BYTES) ->
         end = min(n, max(end, start + 1))
         yield start, end, column.slice(start, end - start)
         start = end
-    # workers live on between tasks: what Arrow has freed goes back, so that it doesn't add up over stages
+    give_back()
+
+
+def give_back() -> None:
+    """Workers live on between tasks: what Arrow and the C library have freed goes back, so that it doesn't add up over stages."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(work: str) -> dict:
+    """What this worker keeps from task to task for one kind of work; what it kept for another is dropped."""
+    if work not in _KEPT:
+        _KEPT.clear()
+        gc.collect()  # an encoder and its stores hold each other
+        give_back()
+        _KEPT[work] = {}
+    return _KEPT[work]
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from understory.llm.text import text_runs
+from understory.llm.text import kept, text_runs
 
 #: A store of more pieces than this is started afresh; it bounds a worker's memory only.
 MAX_PIECES = 250_000
@@ -35,14 +35,13 @@ _NOT_SIMPLE = f"[\u0130\u0250-\U0010ffff{_ODD}]|<\\||'(?i:s|t|re|ve|m|ll|d)"
 _MARKS = ((" ", " \x01"), ("\n", " \x02 "), ("\t", " \x03 "), ("\r", " \x04 "))
 _BACK = {1: " ", 2: "\n", 3: "\t", 4: "\r"}
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for one tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for one tokenizer file, until it takes up other work."""
+    encoders = kept("tokens")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def _byte_letters() -> list[str]:
