@@ -110,7 +110,7 @@ def distinct_columns(rows: np.ndarray) -> np.ndarray:
     """The columns of a table of whole numbers without repeats (but for chance ones of their hashes), in another order."""
     key = np.zeros(rows.shape[1], np.uint64)
     for row in rows:
-        key = (key ^ row.view(np.uint64)) * _U(0xD6E8FEB86659FD93)
+        key = key * _U(0xD6E8FEB86659FD93) + row.view(np.uint64)
     rows = rows[:, np.argsort(key)]
     new = np.ones(rows.shape[1], bool)
     new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
