@@ -119,3 +119,23 @@ def test_curves_by_class_need_a_short_list(spark, monkeypatch):
     with pytest.raises(ValueError):
         glm.effect_curve(d, "x", coefs, vcov, by="c")
     assert glm.effect_curve(d.filter("c <> 'c'"), "x", coefs, vcov, by="c").count() == 4
+
+
+def test_packed_plots_lie_in_several_files_and_keep_their_rows(spark, monkeypatch):
+    """Passes over the packed rows run in several tasks however few bytes they are; runs of all plots are cut at RUN_ROWS."""
+    from understory.operators import mixed
+    monkeypatch.setattr(mixed, "RUN_ROWS", 4)
+    rows = [(f"s{k % 3}", f"p{k % 41}" if k % 7 else "hot", float(k % 5) / 7 + 0.1, float(k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "site string, plot_id string, y double, x double")
+    prob = mixed._Problem(df, "y", ["x"], "site", "plot_id", "beta")
+    small, large = prob.runs
+    assert len(small.inputFiles()) > 1
+    got = {}
+    for r in small.select("_s", "_p", "_ys", "_xs").collect() + large.select("_s", "_p", "_ys", "_xs").collect():
+        ys, xs = np.frombuffer(r._ys), np.frombuffer(r._xs)
+        assert 0 < len(ys) <= 4 and len(xs) == len(ys)
+        got.setdefault((r._s, r._p), []).extend(zip(ys.tolist(), np.round(xs * prob.scale[0] + prob.mean[0]).tolist()))
+    want = {}
+    for s, p, y, x in rows:
+        want.setdefault((s, p), []).append((y, x))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
